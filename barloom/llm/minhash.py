@@ -99,28 +99,66 @@ def _pruner(threshold: float, miss: float, batch: int):
     return prune
 
 
-def _block_pruner(threshold: float, miss: float, batch: int):
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components in one block (or between two chunks of a bucket)."""
-        pdf = pdf.sort_values("vid")
+def _sets(bands: int, rows: int, shingle: int):
+    def sets(batches):
+        a, b = hash_family(bands * rows)
+        for pdf in batches:
+            own = [shingle_set(t, shingle) for t in pdf["text"]]
+            sig = [signature(s, a, b).tobytes() for s in own]
+            yield pd.DataFrame({"vid": pdf["doc_id"], "sig": sig, "shingles": [s.tobytes() for s in own]})
+
+    return sets
+
+
+def _block_links(percent: int, miss: float, batch: int):
+    """Links between different components in each block of sorted rows: pruned, then exact.
+
+    All pairs of a block at distance 1, then 2 and so on are taken together over all the
+    blocks at hand, so many small blocks cost little more than a large one.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), -1)
-        vid, comp, chunk = pdf["vid"].to_numpy(), pdf["comp"].to_numpy(), pdf["chunk"].to_numpy()
-        across = len(np.unique(chunk)) > 1
-        a, b = [], []
-        for i in range(len(pdf)):
-            others = np.arange(i + 1, len(pdf))
-            others = others[comp[others] != comp[i]]
-            if across:
-                others = others[chunk[others] != chunk[i]]
-            if len(others):
-                kept = others[survivors(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], threshold, miss, batch)]
-                a.append(np.full(len(kept), vid[i]))
-                b.append(vid[kept])
-        if not a:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        head = np.ascontiguousarray(sig[:, :batch])
+        vid, comp, chunk, c0, c1 = (pdf[c].to_numpy() for c in ("vid", "comp", "chunk", "c0", "c1"))
+        bucket = pdf["bucket"].to_numpy()
+        group = np.cumsum(np.r_[True, (bucket[1:] != bucket[:-1]) | (c0[1:] != c0[:-1]) | (c1[1:] != c1[:-1])])
+        found, least = [], least_matches(batch, percent / 100, miss)
+        for d in range(1, int(np.bincount(group).max())):
+            i = np.flatnonzero((group[:-d] == group[d:]) & (comp[:-d] != comp[d:]) & ((chunk[:-d] != chunk[d:]) | (c0[:-d] == c1[:-d])))
+            for at in range(0, len(i), 1 << 15):
+                x = i[at : at + (1 << 15)]
+                x = x[(head[x] == head[x + d]).sum(axis=1) >= least]
+                x = x[survivors(sig[x], sig[x + d], percent / 100, miss, batch)]
+                found.append(np.stack([x, x + d], axis=1))
+        pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        ends = np.sort(vid[pairs], axis=1)
+        _, first = np.unique(ends, axis=0, return_index=True)
+        sets: dict[int, frozenset] = {}
+        data, out = pdf["shingles"].to_numpy(), []
+        for i, j in pairs[first]:
+            x, y = (sets.get(k) or sets.setdefault(k, frozenset(np.frombuffer(data[k], dtype=np.uint64).tolist())) for k in (i, j))
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((vid[i], vid[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    def links(batches):
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(held):
+                continue
+            last = held.iloc[-1]
+            tail = ((held["bucket"] == last["bucket"]) & (held["c0"] == last["c0"]) & (held["c1"] == last["c1"])).to_numpy()
+            if not tail.all():
+                yield compare(held[~tail].reset_index(drop=True))
+            held = held[tail].reset_index(drop=True)
+        if held is not None and len(held):
+            yield compare(held)
 
-    return prune
+    return links
 
 
 def _verifier(percent: int, shingle: int):
@@ -169,7 +207,8 @@ def near_duplicates(
        confirm the rest. Components of these links absorb large groups of copies.
     3. Rest: buckets that still hold several components are compared in full between
        components, in blocks of at most 2 x 256 members; buckets of equal membership
-       count once. Survivors are confirmed exactly and components taken again.
+       count once. The same batches prune, exact sets that travel with the block's
+       members confirm, and only links leave the block. Components are taken again.
     So every pair that shares a bucket is decided, without emitting a group's pairs.
 
     Null or word-less texts: n_shingles 0, linked with nothing. Fewer words than a
@@ -217,12 +256,9 @@ def near_duplicates(
     block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     block = materialize(block.select("bucket", F.least("chunk", "other").alias("c0"), F.greatest("chunk", "other").alias("c1"), "vid", "comp", "chunk"), "blocks")
     ids2 = materialize(block.select(F.col("vid").alias("id")).distinct(), "ids")
-    alive = (
-        block.join(pick(reps, "vid", ids2), "vid")
-        .groupBy("bucket", "c0", "c1")
-        .applyInPandas(_block_pruner(threshold, miss, batch), "a long, b long")
-    )
-    more = _exact(alive, docs, percent, shingle)
+    sets = pick(docs, "doc_id", ids2).mapInPandas(_sets(bands, rows, shingle), "vid long, sig binary, shingles binary")
+    blocked = block.join(sets, "vid").repartition("bucket", "c0", "c1").sortWithinPartitions("bucket", "c0", "c1")
+    more = materialize(blocked.mapInPandas(_block_links(percent, miss, batch), "a long, b long").distinct(), "links")
     comps = components(links.union(more)) if more.limit(1).count() else first
     discard(buckets, star, ids, held, block, ids2, reps, links, more)
 
