@@ -149,11 +149,11 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: boo
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     kept = materialize(docs.mapInPandas(_select(k, least - k), "kmer long, doc_id long, p int"), "suffixes")
     known = kept.groupBy("kmer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("m"))
-    known = known.where("m > 1" if within else "lo < hi").select("kmer")
+    known = materialize(known.where("m > 1" if within else "lo < hi").select("kmer"), "repeated")  # a side AQE can split
     places = materialize(kept.join(known, "kmer").groupBy("doc_id").agg(F.collect_set("p").alias("ps")), "places")
     schema = "kmer long, r long, l long, nl int, nr int, rctx binary, lctx binary, doc_id long, p int"
     found = materialize(docs.join(places, "doc_id").mapInPandas(_contexts(k, left, right), schema), "contexts")
-    discard(kept, places)
+    discard(kept, places, known)
 
     groups = found.groupBy(*_GROUP).agg(
         F.any_value("rctx").alias("rctx"), F.any_value("lctx").alias("lctx"), F.min("doc_id").alias("lo"),
