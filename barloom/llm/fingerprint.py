@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     Null texts count as empty; a single document is its own next; extra columns are ignored.
     """
     spark = docs.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), ident.alias("i"))
     cuts = base.select("i").where("doc_id is not null").agg(F.percentile_approx("i", [x / blocks for x in range(1, blocks)], 10_000)).first()[0] if blocks > 1 else []
