@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import array
+import functools
 import mmap
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 
@@ -18,32 +22,74 @@ from .common import materialize, partitions, shared_path
 
 #: Fixed value: the first bytes of an index file.
 MAGIC = b"BLTOKEN1"
-#: Distinct words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+#: Distinct pieces whose ids a worker remembers; once full, others are encoded batch by batch.
+REMEMBERED = 500_000
+OTHERS = re.compile(r"[^\x09-\x0d\x20-\u024f]|<\|")
+
+
+def _pieces() -> re.Pattern:
+    """The pre-tokenizer's pattern of word_bpe_49k.json for lower-cased characters below U+0250.
+
+    Its alternatives are fixed values; \\p{L} and \\p{N} are spelled out for these characters.
+    """
+    known = sorted({c for i in range(0x250) for c in chr(i).lower()})
+    letters, numbers = ("".join(re.escape(c) for c in known if unicodedata.category(c)[0] == k) for k in "LN")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\x09-\\x0d\\x20\\x85\\xa0{letters}{numbers}]+")
+
+
+PIECES = _pieces()
+
+
+def _byte_letters() -> dict:
+    """The printable stand-ins of byte-level BPE: bytes that are not printable Latin-1 follow U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in plain)}
 
 
 class Encoder:
-    """Ids of texts, word by word: no pre-token of the vocabulary spans ASCII white space."""
+    """Ids of texts by the tokenizers library, each distinct piece of a text encoded once.
+
+    The vocabulary lower-cases, splits by PIECES and encodes pieces one by one, so a text's
+    ids are its pieces' ids in a row. Texts of characters below U+0250 (which NFC leaves as
+    they are, and which are lower-cased one by one) are split here and their pieces given to
+    the library's model; others, and texts that may hold a special token, go to the library whole.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tok, self.end, self.known = Tokenizer.from_file(path), np.array([end_id], dtype="<u4").tobytes(), {}
+        self.tok, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
+        self.model = self.tok.model
+        self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        self.end = self._bytes([end_id])
+
+    def _bytes(self, ids) -> bytes:
+        return array.array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii() or not piece.isprintable():
+            piece = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.model.tokenize(piece)])
 
     def encode(self, texts: list) -> list[bytes]:
-        split = [(t or "").split(" ") if t and "\n" not in t and "\t" not in t else (t or "").translate(_SPACES).split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({w for ws in split for w in ws}.difference(self.known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) + self.end for ws in split]
+        """The ids of each text (null: none) and the end id, as bytes in this machine's order."""
+        split = [PIECES.findall(t.lower()) if t and not OTHERS.search(t) else None for t in texts]
+        ids = {x: self._piece(x) for x in set().union(*filter(None, split)).difference(self.known)}
+        if len(self.known) < REMEMBERED:
+            self.known |= ids
+            ids = {}
+        get = self.known.__getitem__ if not ids else lambda w: self.known.get(w) or ids[w]
+        whole = [i for i, x in enumerate(split) if x is None and texts[i]]
+        found = self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        rest = {i: self._bytes(e.ids) for i, e in zip(whole, found)}
+        return [(b"".join(map(get, x)) if x else rest.get(i, b"")) + self.end for i, x in enumerate(split)]
 
 
-_SPACES = dict.fromkeys(range(0x09, 0x0E), " ")
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One encoder for all the tasks of a Python worker."""
+    return Encoder(path, end_id)
 
 
 def _filesystem(uri: str):
@@ -68,12 +114,12 @@ def _writer(folder: str, encoder, batch: int):
                 ids += [None if pd.isna(x) else int(x) for x in pdf["doc_id"].astype("Int64")]
                 for i in range(0, len(texts), batch):
                     data = enc.encode(texts[i : i + batch])
-                    ends += (total + np.cumsum([len(x) // 4 for x in data])).tolist()
+                    ends += (total + np.cumsum([len(x) // enc.width for x in data])).tolist()
                     total = ends[-1]
                     out.write(b"".join(data))
         if ids:
             with fs.open_output_stream(path + ".idx") as out:
-                out.write(MAGIC + struct.pack("<QQ", len(ids), 4))
+                out.write(MAGIC + struct.pack("<QQ", len(ids), enc.width))
                 out.write(np.array(ends, dtype="<u8").tobytes())
                 out.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes())
                 out.write(np.array([x is None for x in ids], dtype="u1").tobytes())
@@ -85,10 +131,10 @@ def _writer(folder: str, encoder, batch: int):
 def write_tokens(docs: DataFrame, encoder, folder: str, batch: int = 256) -> DataFrame:
     """Writes docs(doc_id, text) in ascending doc_id order (nulls first); the manifest, with bases.
 
-    encoder() builds an object whose encode(texts) gives each text's ids as bytes. Documents
-    are range-partitioned by doc_id; a task writes <part>.bin, ids as little-endian unsigned
-    32-bit integers, and <part>.idx: magic, document count, width, count + 1 offsets of 64
-    bits into the ids, doc_ids of 64 bits, and a byte a document that is 1 for a null id. Names
+    encoder() gives an object whose encode(texts) gives each text's ids as bytes. Documents
+    are range-partitioned by doc_id; a task writes <part>.bin, ids as flat little-endian unsigned
+    integers of 16 bits (32 where the vocabulary needs them), and <part>.idx: magic, document
+    count, bytes of an id, count + 1 offsets of 64 bits into the ids, doc_ids of 64 bits, and a byte a document that is 1 for a null id. Names
     are unique to the attempt, and only files of finished tasks are in the manifest, which
     is written once: lost executors and repeated tasks leave unread files at most.
     `base`, the ids before a part, is a prefix sum over the manifest, a row a part.
@@ -122,18 +168,20 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 fs, path = _filesystem(name)
                 idx, data = _mapped(fs, path + ".idx"), _mapped(fs, path + ".bin")
                 n, width = struct.unpack_from("<QQ", idx, len(MAGIC))
-                if idx[: len(MAGIC)] != MAGIC or width != 4 or n != n_docs or len(idx) != len(MAGIC) + 16 + 8 * (n + 1) + 9 * n:
+                if idx[: len(MAGIC)] != MAGIC or width not in (2, 4) or n != n_docs or len(idx) != len(MAGIC) + 16 + 8 * (n + 1) + 9 * n:
                     raise ValueError(f"{name}.idx: not an index of {n_docs} documents")
                 at = len(MAGIC) + 16
                 offsets = np.frombuffer(idx, dtype="<u8", count=n + 1, offset=at).astype(np.int64)
                 ids = np.frombuffer(idx, dtype="<i8", count=n, offset=at + 8 * (n + 1))
                 null = np.frombuffer(idx, dtype="u1", count=n, offset=at + 8 * (2 * n + 1)) > 0
-                if offsets[0] != 0 or (np.diff(offsets) < 0).any() or offsets[-1] != tokens or 4 * tokens != len(data):
+                if offsets[0] != 0 or (np.diff(offsets) < 0).any() or offsets[-1] != tokens or width * tokens != len(data):
                     raise ValueError(f"{name}: offsets and ids disagree")
-                view = memoryview(data)
-                for i in range(0, n, 50_000):
-                    j = min(n, i + 50_000)
-                    crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist())]
+                flat = np.frombuffer(data, dtype=f"<u{width}")
+                for i in range(0, n, 2_000):
+                    j = min(n, i + 2_000)
+                    view = memoryview(flat[offsets[i] : offsets[j]].astype("<u4")).cast("B")
+                    at = 4 * (offsets[i : j + 1] - offsets[i])
+                    crc = [zlib.crc32(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                     yield pd.DataFrame(
                         {"doc_id": pd.array(np.where(null[i:j], None, ids[i:j]), dtype="Int64"), "start": base + offsets[i:j], "n_tokens": np.diff(offsets[i : j + 1]), "ids_crc32": np.array(crc, dtype=np.int64)}
                     )
@@ -142,7 +190,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Writes all documents (null text: empty) with a tokenizers vocabulary and reads them back.
+    """Writes all documents (null text: empty) with a vocabulary of word_bpe_49k.json's rules; reads them back.
 
     `vocabulary` names a file beside the public_tokenizers package, or a path that every
     executor has. end_id is appended to each document. An empty table returns no rows.
@@ -151,7 +199,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, folder:
     def encoder():
         import public_tokenizers
 
-        return Encoder(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary), end_id)
+        return encoder_of(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary), end_id)
 
     folder = folder or shared_path(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, encoder, folder))
