@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,33 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of an Arrow batch: whole texts, and pairs of them, are in a Python worker at once.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def lean(f):
+    """f, a function of batches, that returns freed memory to the system when a task ends.
+
+    Python workers live on between tasks; what they keep counts against their executor.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, grams, shingle_set, words
+from .common import U64, grams, lean, shingle_set, small_batches, words
 from .minhash import hash_family, signature
 
 #: Items that one pass over the documents searches for (about 60 KB of shingles a hundred
@@ -89,6 +89,7 @@ class Index:
 
 def _indexes(items: DataFrame, percent: int, shingle: int):
     """Broadcast indexes, each of a bounded block of the items."""
+    small_batches(items.sparkSession)
     items = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     spark = items.sparkSession
     n = items.count()
@@ -116,7 +117,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, shingle:
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "n_item", "n_shared"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64", "n_item": "int64", "n_shared": "int64"})
 
-        found = docs.select("doc_id", "text").mapInPandas(search, "doc_id long, item_id long, n_item long, n_shared long")
+        found = docs.select("doc_id", "text").mapInPandas(lean(search), "doc_id long, item_id long, n_item long, n_shared long")
         out = found if out is None else out.union(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
@@ -130,5 +131,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 75, shingle:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not sent.value.search(t) for t in texts], type=pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix
+from .common import U64, lean, mix, small_batches
 
 ORDER = 5
 #: The bound of the labelled sample that is fitted: documents a language, drawn by a hash.
@@ -219,6 +219,7 @@ def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER,
     entropy exceeds the language's calibration mean by more than the limit: the distance that
     a share `miss` of the calibration texts exceeds plus a margin of 0.5 nats, wider for short texts.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -227,7 +228,7 @@ def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER,
     rates = spark.createDataFrame([(k, per_lang / v) for k, v in sizes.items()], "lang string, rate double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     part = docs.withColumn("u", u).join(F.broadcast(rates), "lang").where("u < rate").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0)
-    counts = part.where("not held or rate > 20").select("text", "lang").mapInPandas(_counts(order), "lang string, gram string, n long")
+    counts = part.where("not held or rate > 20").select("text", "lang").mapInPandas(lean(_counts(order)), "lang string, gram string, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     kinds = sorted((r["n"], r["m"]) for r in counts.groupBy("n").agg(F.count("*").alias("m")).collect())
     left, least = sum(m for _, m in kinds), 1
@@ -248,7 +249,7 @@ def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER,
                     rows.append((lang, float(h[sent.value.langs.index(lang)]), n))
             yield pd.DataFrame(rows, columns=["lang", "h", "n"])
 
-    known = part.where("held").select("text", "lang").mapInPandas(score, "lang string, h double, n long").toPandas()
+    known = part.where("held").select("text", "lang").mapInPandas(lean(score), "lang string, h double, n long").toPandas()
     for lang, x in known.groupby("lang"):
         mean = float(x["h"].median())
         z = (x["h"] - mean) / (1 + 4 / np.sqrt(x["n"]))
@@ -261,6 +262,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts and texts without letters: und, 0, null, false. Only the text is an input.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -270,13 +272,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, entropy double, accepted boolean")
+    return docs.select("doc_id", "text").mapInPandas(lean(run), "doc_id long, lang_pred string, score double, entropy double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with all their columns, whose text the model accepts."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -284,4 +287,4 @@ def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([sent.value.predict(t)[3] for t in texts], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, discard, materialize, mix, pick, shingle_set
+from .common import U64, discard, lean, materialize, mix, pick, shingle_set, small_batches
 from .components import components
 
 #: Rows of a block in which members of one large bucket are compared.
@@ -189,7 +189,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> Dat
     texts = materialize(pick(docs.select("doc_id", "text"), "doc_id", ids), "texts")
     full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = materialize(full.select("a", "b", "text_a", "text_b").mapInPandas(_verifier(percent, shingle), "a long, b long").distinct(), "links")
+    links = materialize(full.select("a", "b", "text_a", "text_b").mapInPandas(lean(_verifier(percent, shingle)), "a long, b long").distinct(), "links")
     discard(pairs, ids, texts)
     return links
 
@@ -216,9 +216,10 @@ def near_duplicates(
     Rows without doc_id link only to equal sets: they get that class's component, or null
     if no row of the class has an id, and are kept only in that case. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
-    signed = materialize(docs.mapInPandas(_signer(bands, rows, shingle), "doc_id long, n int, d1 long, d2 long, sig binary"), "signed")
+    signed = materialize(docs.mapInPandas(lean(_signer(bands, rows, shingle)), "doc_id long, n int, d1 long, d2 long, sig binary"), "signed")
     classes = materialize(signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("vid")), "classes")
     reps = materialize(
         signed.where("n > 0")
@@ -232,7 +233,7 @@ def near_duplicates(
     members = materialize(signed.select("doc_id", "n", "d1", "d2"), "members")
     discard(signed)
 
-    banded = reps.mapInPandas(_bander(bands, rows), "bucket long, vid long")
+    banded = reps.mapInPandas(lean(_bander(bands, rows)), "bucket long, vid long")
     shared = banded.groupBy("bucket").agg(F.min("vid").alias("lo"), F.max("vid").alias("hi")).where("lo < hi").select("bucket", "lo")
     buckets = materialize(banded.join(shared, "bucket"), "buckets")
     star = materialize(buckets.where("vid <> lo").select(F.col("lo").alias("a"), F.col("vid").alias("b")).distinct(), "star")
@@ -240,7 +241,7 @@ def near_duplicates(
     sigs = pick(reps, "vid", ids)
     full = star.join(sigs.select(F.col("vid").alias("b"), F.col("sig").alias("sig_b")), "b")
     full = full.join(sigs.select(F.col("vid").alias("a"), F.col("sig").alias("sig_a")), "a")
-    alive = full.mapInPandas(_pruner(threshold, miss, batch), "a long, b long")
+    alive = full.mapInPandas(lean(_pruner(threshold, miss, batch)), "a long, b long")
     links = _exact(alive, docs, percent, shingle)
     first = components(links)
 
@@ -256,9 +257,9 @@ def near_duplicates(
     block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     block = materialize(block.select("bucket", F.least("chunk", "other").alias("c0"), F.greatest("chunk", "other").alias("c1"), "vid", "comp", "chunk"), "blocks")
     ids2 = materialize(block.select(F.col("vid").alias("id")).distinct(), "ids")
-    sets = pick(docs, "doc_id", ids2).mapInPandas(_sets(bands, rows, shingle), "vid long, sig binary, shingles binary")
+    sets = pick(docs, "doc_id", ids2).mapInPandas(lean(_sets(bands, rows, shingle)), "vid long, sig binary, shingles binary")
     blocked = block.join(sets, "vid").repartition("bucket", "c0", "c1").sortWithinPartitions("bucket", "c0", "c1")
-    more = materialize(blocked.mapInPandas(_block_links(percent, miss, batch), "a long, b long").distinct(), "links")
+    more = materialize(blocked.mapInPandas(lean(_block_links(percent, miss, batch)), "a long, b long").distinct(), "links")
     comps = components(links.union(more)) if more.limit(1).count() else first
     discard(buckets, star, ids, held, block, ids2, reps, links, more)
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, discard, grams, materialize, mix, partitions, words
+from .common import U64, discard, grams, lean, materialize, mix, partitions, small_batches, words
 
 
 def minimisers(h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +144,16 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: boo
     Null or short texts and rows without doc_id report nothing; rows that repeat a doc_id
     count as one document. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     left, right, n = least - k, least, partitions(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    kept = materialize(docs.mapInPandas(_select(k, least - k), "kmer long, doc_id long, p int"), "suffixes")
+    kept = materialize(docs.mapInPandas(lean(_select(k, least - k)), "kmer long, doc_id long, p int"), "suffixes")
     known = kept.groupBy("kmer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("m"))
     known = materialize(known.where("m > 1" if within else "lo < hi").select("kmer"), "repeated")  # a side AQE can split
     places = materialize(kept.join(known, "kmer").groupBy("doc_id").agg(F.collect_set("p").alias("ps")), "places")
     schema = "kmer long, r long, l long, nl int, nr int, rctx binary, lctx binary, doc_id long, p int"
-    found = materialize(docs.join(places, "doc_id").mapInPandas(_contexts(k, left, right), schema), "contexts")
+    found = materialize(docs.join(places, "doc_id").mapInPandas(lean(_contexts(k, left, right)), schema), "contexts")
     discard(kept, places, known)
 
     groups = found.groupBy(*_GROUP).agg(
@@ -167,10 +168,10 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: boo
     compared = []
     for keys in (["kmer", "rctx", "lctx", "lo"], ["kmer", "lctx", "rctx", "lo"]):
         rows = groups.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-        out = materialize(rows.mapInPandas(_neighbours(least, left, right, True), _MATCH), "matches")
+        out = materialize(rows.mapInPandas(lean(_neighbours(least, left, right, True)), _MATCH), "matches")
         edge = out.where("ml < 0").select(*groups.columns).distinct().coalesce(1).sortWithinPartitions(*keys)
         compared.append(out)
-        matches += [out.where("ml >= 0"), edge.mapInPandas(_neighbours(least, left, right, False), _MATCH)]
+        matches += [out.where("ml >= 0"), edge.mapInPandas(lean(_neighbours(least, left, right, False)), _MATCH)]
     union = matches[0]
     for m in matches[1:]:
         union = union.union(m.select(*_GROUP, "ml", "mr"))

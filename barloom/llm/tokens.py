@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, shared_path
+from .common import lean, materialize, partitions, shared_path, small_batches
 
 #: Fixed value: the first bytes of an index file.
 MAGIC = b"BLTOKEN1"
@@ -139,9 +139,10 @@ def write_tokens(docs: DataFrame, encoder, folder: str, batch: int = 256) -> Dat
     is written once: lost executors and repeated tasks leave unread files at most.
     `base`, the ids before a part, is a prefix sum over the manifest, a row a part.
     """
+    small_batches(docs.sparkSession)
     parts = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = parts.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = materialize(rows.mapInPandas(_writer(folder, encoder, batch), "part int, path string, docs long, tokens long"), "manifest")
+    manifest = materialize(rows.mapInPandas(lean(_writer(folder, encoder, batch)), "part int, path string, docs long, tokens long"), "manifest")
     found, base = [], 0
     for r in sorted(manifest.collect(), key=lambda r: r["part"]):
         found.append((*r, base))
@@ -186,7 +187,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         {"doc_id": pd.array(np.where(null[i:j], None, ids[i:j]), dtype="Int64"), "start": base + offsets[i:j], "n_tokens": np.diff(offsets[i : j + 1]), "ids_crc32": np.array(crc, dtype=np.int64)}
                     )
 
-    return manifest.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.mapInPandas(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, shared_path
+from .common import lean, materialize, partitions, shared_path, small_batches
 
 # Fixed values of the formats: the skippable frame that holds the dictionary, zstd's own
 # magic, the WARC version and the revisit profile.
@@ -207,6 +207,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     in no task. Names are unique to the attempt and only finished tasks' files are in the
     manifest, which is written once. A url's white space is normalised in its header.
     """
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
     html = F.coalesce("html", F.lit(""))
@@ -217,7 +218,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     again = again.withColumn("revisit", F.lit(True))
     full = rows.join(again, ["page_id", "digest"], "left").withColumn("revisit", F.coalesce("revisit", F.lit(False)))
     full = full.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "digest", "size", "revisit", "first_id")
-    return materialize(full.mapInPandas(_writer(folder, train_dictionary(pages), roll), "path string, records long, bytes long"), "archives")
+    return materialize(full.mapInPandas(lean(_writer(folder, train_dictionary(pages), roll)), "path string, records long, bytes long"), "archives")
 
 
 def _page(urn: str) -> int | None:
@@ -266,4 +267,4 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """
     n = max(1, min(manifest.count(), partitions(manifest.sparkSession)))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-    return manifest.select("path", "records").repartition(n).mapInPandas(_reader(), schema)
+    return manifest.select("path", "records").repartition(n).mapInPandas(lean(_reader()), schema)
