@@ -15,9 +15,9 @@ from .common import U64, lean, mix, small_batches
 
 ORDER = 5
 #: The bound of the labelled sample that is fitted: documents a language, drawn by a hash.
-DOCS_A_LANGUAGE = 3_000
+DOCS_A_LANGUAGE = 2_000
 #: The most n-grams of the highest order in a model; the rarest go first, by their count.
-MAX_NGRAMS = 400_000
+MAX_NGRAMS = 250_000
 #: Characters scored at once.
 _BLOCK = 1 << 18
 _P = U64(0x9E3779B97F4A7C15)
