@@ -97,12 +97,14 @@ def mix(
 
     Whole documents are taken: `repeats` is 0 to `times`. Null or empty texts have size 0;
     they fit whenever their place in the order does. Repeated rows are decided one by one. An empty table
-    gives empty results. docs must not have columns named size, repeats, or starting with "__".
+    gives empty results. Columns of docs named size or repeats give way to the results'; names that start
+    with "__" are the operator's own.
     """
     spark = docs.sparkSession
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    docs = docs.withColumn("__n", size.cast("long")).drop("size", "repeats")
     slim = docs.withColumns(
-        {"size": size.cast("long"), "__sources": F.array_distinct(F.array_sort(sources)), "__h": h, "__rid": F.monotonically_increasing_id()}
+        {"size": F.col("__n"), "__sources": F.array_distinct(F.array_sort(sources)), "__h": h, "__rid": F.monotonically_increasing_id()}
     )
     slim = slim.withColumns({"__key": F.to_json(F.struct("__sources")), "__bucket": F.conv(F.substring("__h", 1, 3), 16, 10).cast("int")})
     slim = materialize(slim, "sizes")
@@ -149,7 +151,7 @@ def mix(
     )
     slim = slim.join(F.broadcast(near), "__key", "left")
     repeats = F.col("__base") + F.when(F.col("__fits") | F.coalesce(F.col("__extra") == F.col("__rid"), F.lit(False)), 1).otherwise(0)
-    out = slim.select(*[F.col(f"`{c}`") for c in docs.columns], "size", F.coalesce(repeats, F.lit(0)).cast("int").alias("repeats"))
+    out = slim.select(*[F.col(f"`{c}`") for c in docs.columns if c != "__n"], "size", F.coalesce(repeats, F.lit(0)).cast("int").alias("repeats"))
     by_source = spark.createDataFrame([(s, sizes[s], float(target[s])) for s in names], "source string, source_size long, target double")
     return out, by_source
 

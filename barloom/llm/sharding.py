@@ -54,9 +54,11 @@ def shard(df: DataFrame, weight: str, hashed: str, ident: str, shards: int = 8,
        running sums into places in the whole.
 
     Nulls in the key come first; rows of equal key are adjacent, in unspecified order, and
-    a hot text is cut by ident. An empty table returns no rows. Names of df are kept; it
-    must not have columns named shard or slot, or starting with two underscores.
+    a hot text is cut by ident. An empty table returns no rows. Columns
+    of df named shard or slot give way to the results; names that start with "__" are the
+    operator's own.
     """
+    df = df.drop("shard", "slot")
     keyed = df.withColumns(
         {"__k1": F.coalesce(F.col(hashed), F.lit(_LEAST)), "__k2": F.coalesce(F.col(ident), F.lit(_LEAST)), "__w": F.col(weight).cast("long")}
     )
