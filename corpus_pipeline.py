@@ -42,14 +42,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: rows of documents that are taken twice appear twice."""
-    mixed, _ = mix(docs.withColumn("__member", F.array("source")), "__member", n_words(), by_rank)
-    copies = mixed.where("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", n_words().alias("n"), F.array("source").alias("sources"))
+    mixed, _ = mix(rows, "sources", F.col("n"), by_rank)
+    copies = mixed.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return copies.select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard (0 to 7, sizes near equal) and slot."""
-    return shard(sized(docs), "size", "hashed", "doc_id").drop("hashed")
+    """All rows with their size, shard (0 to 7, sizes near equal) and slot; columns of these names give way."""
+    rows = sized(docs.select(F.struct("*").alias("row"), "doc_id", "text")).drop("text")
+    kept = [f"row.`{c}`" for c in docs.columns if c not in ("size", "shard", "slot")]
+    return shard(rows, "size", "hashed", "doc_id").select(*kept, "size", "shard", "slot")
 
 
 STAGES = [
