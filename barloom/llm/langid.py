@@ -18,6 +18,8 @@ ORDER = 5
 DOCS_A_LANGUAGE = 2_000
 #: The most n-grams of the highest order in a model; the rarest go first, by their count.
 MAX_NGRAMS = 250_000
+#: Nats a character beyond what calibration texts show that a text may have.
+MARGIN = 1.0
 #: Characters scored at once.
 _BLOCK = 1 << 18
 _P = U64(0x9E3779B97F4A7C15)
@@ -217,7 +219,8 @@ def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER,
     Of each language about per_lang documents are used, drawn by a hash of doc_id: three
     quarters give the counts, a quarter calibrates the rejection. A text is rejected if its
     entropy exceeds the language's calibration mean by more than the limit: the distance that
-    a share `miss` of the calibration texts exceeds plus a margin of 0.5 nats, wider for short texts.
+    a share `miss` of the calibration texts exceeds plus MARGIN, wider for short texts. A few odd
+    tokens in a short text of the language thus do not reject it; noise and other scripts do.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -253,7 +256,7 @@ def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER,
     for lang, x in known.groupby("lang"):
         mean = float(x["h"].median())
         z = (x["h"] - mean) / (1 + 4 / np.sqrt(x["n"]))
-        model.limit[lang] = (mean, float(max(0.0, z.quantile(1 - miss)) + 0.5))
+        model.limit[lang] = (mean, float(max(0.0, z.quantile(1 - miss)) + MARGIN))
     return model
 
 
