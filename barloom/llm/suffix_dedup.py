@@ -63,7 +63,9 @@ def _contexts(k: int, left: int, right: int):
 
 _GROUP = ["kmer", "r", "l", "nl", "nr"]
 _EDGE = "kmer long, r long, l long, nl int, nr int, rctx binary, lctx binary, lo long, hi long"
-_MATCH = f"{_EDGE}, ml int, mr int"
+#: What a row says: a match, a row at a task's edge, or the longest match on the sorted side.
+_PAIR, _AT_EDGE, _BOUND = 0, 1, 2
+_MATCH = f"{_EDGE}, ml int, mr int, kind int"
 
 
 def _matrix(col, n, width):
@@ -77,51 +79,94 @@ def _run(equal: np.ndarray) -> np.ndarray:
     return np.where(equal.all(axis=1), equal.shape[1], equal.argmin(axis=1))
 
 
-def _neighbours(least: int, left: int, right: int, edges: bool):
+def _neighbours(least: int, left: int, right: int, by_right: bool, edges: bool):
     """Compares rows that are sorted by context with their neighbours, one stream a task.
 
-    Each row meets the row before it and, if both are of the same single document, the
-    nearest earlier row of another one. With edges the first and last rows of the task are
-    returned too, for the pairs that straddle two tasks.
+    Rows of one single document that follow each other with one k-mer form a run; each row
+    meets the last row before its run and the first one after it, so the longest match on
+    the sorted side with another document is among them; it is returned as a bound, unless
+    the other side matches as far as it goes or no match can be long enough. With edges, the first and last runs of the
+    task and the rows beside them are returned too, for the pairs that straddle two tasks.
     """
 
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        lo, hi, kmer = (pdf[c].to_numpy() for c in ("lo", "hi", "kmer"))
+        return np.flatnonzero(np.r_[True, (kmer[1:] != kmer[:-1]) | (lo[1:] != lo[:-1]) | (lo[1:] != hi[1:]) | (lo[:-1] != hi[:-1])])
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
+        n, start = len(pdf), starts(pdf)
         R, rv = _matrix(pdf["rctx"], pdf["nr"], right)
         L, lv = _matrix(pdf["lctx"], pdf["nl"], left)
-        lo, hi, kmer = (pdf[c].to_numpy() for c in ("lo", "hi", "kmer"))
-        new = np.r_[True, (lo[1:] != lo[:-1]) | (lo[1:] != hi[1:]) | (lo[:-1] != hi[:-1])]
-        before = np.maximum.accumulate(np.where(new, np.arange(n), 0)) - 1
-        i = np.arange(n)
-        ok = (before >= 0) & (kmer[np.maximum(before, 0)] == kmer)
-        i, j = i[ok], before[ok]
+        lo, hi, kmer, nl, nr = (pdf[c].to_numpy() for c in ("lo", "hi", "kmer", "nl", "nr"))
+        ends = np.r_[start[1:], n]
+        run = np.repeat(np.arange(len(start)), ends - start)
+        inner = np.flatnonzero(np.arange(n) < ends[run] - 1)  # the last row of a run is met by the next run
+        i = np.r_[np.arange(n), inner]
+        j = np.r_[start[run] - 1, ends[run[inner]]]
+        ok = (j >= 0) & (j < n)
+        i, j = i[ok], j[ok]
+        ok = kmer[i] == kmer[j]
+        i, j = i[ok], j[ok]
         mr = _run((R[i] == R[j]) & rv[i] & rv[j])
         ml = _run((L[i] == L[j]) & lv[i] & lv[j])
+        far = np.full(n, -1)
+        for x in (i, j):
+            np.maximum.at(far, x, mr * 1024 + ml if by_right else ml * 1024 + mr)
+        most, other = far // 1024, far % 1024
+        rest = nl if by_right else nr
+        bound = np.flatnonzero((lo == hi) & (most > 0) & (other < rest) & (most + rest >= least))
         good = mr + ml >= least
         i, j, ml, mr = i[good], j[good], ml[good], mr[good]
-        out = pdf.iloc[np.r_[i, j]].copy()
-        out["ml"], out["mr"] = np.r_[ml, ml], np.r_[mr, mr]
+        out = pdf.iloc[np.r_[i, j, bound]].copy()
+        most, other = most[bound], other[bound]
+        out["ml"] = np.r_[ml, ml, other if by_right else most].astype("int32")
+        out["mr"] = np.r_[mr, mr, most if by_right else other].astype("int32")
+        out["kind"] = np.r_[np.full(2 * len(i), _PAIR), np.full(len(bound), _BOUND)].astype("int32")
         out["rctx"], out["lctx"] = None, None
         return out
 
     def neighbours(batches):
-        carry, first = None, None
+        carry, head = None, None
         for pdf in batches:
             if not len(pdf):
                 continue
-            if first is None:
-                first = pdf.iloc[:1]
             both = pdf if carry is None else pd.concat([carry, pdf], ignore_index=True)
             yield compare(both)
-            lo, hi = both["lo"].to_numpy(), both["hi"].to_numpy()
-            other = np.flatnonzero((lo != lo[-1]) | (hi != lo[-1]))
-            carry = both.iloc[sorted({*other[-1:], len(both) - 1})]
-        if edges and first is not None:
-            yield pd.concat([first, carry], ignore_index=True).assign(ml=-1, mr=-1)
+            start = starts(both)
+            if head is None and len(start) > 1:
+                head = both.iloc[: start[1] + 1]
+            carry = both.iloc[max(0, start[-1] - 1) :]
+        if edges and carry is not None:
+            yield pd.concat([x for x in (head, carry) if x is not None], ignore_index=True).assign(ml=-1, mr=-1, kind=_AT_EDGE)
 
     return neighbours
 
 
+def _hidden(groups: DataFrame, right: DataFrame, left: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Matches that neither order shows: (_GROUP, ml, mr) of single passages of `least` words; and a table to discard.
+
+    A row whose longest matches to the right and to the left are with different rows may
+    have a shorter one with a third, long enough on both sides together. Such rows are few;
+    the passages of `least` words around them are compared with those of all rows of their k-mer.
+    """
+    right = right.groupBy(*_GROUP).agg(F.max(F.struct("mr", "ml")).alias("far_r"))
+    left = left.groupBy(*_GROUP).agg(F.max(F.struct("ml", "mr")).alias("far_l"))
+    open_ = right.join(left, _GROUP).where((F.col("far_r.mr") + F.col("far_l.ml") >= least) & (F.col("far_r.ml") < F.col("far_l.ml")) & (F.col("far_l.mr") < F.col("far_r.mr")))
+    open_ = materialize(open_.select(*_GROUP, (F.lit(least) - F.col("far_r.mr")).alias("l0"), F.col("far_l.ml").alias("l1")), "open")
+
+    def passages(rows: DataFrame) -> DataFrame:
+        first, last = F.greatest("l0", F.lit(least) - F.col("nr")), F.least("l1", "nl")
+        rows = rows.where(first <= last).withColumn("ml", F.explode(F.sequence(first, last)))
+        x, y = F.substring("rctx", F.lit(1), 4 * (F.lit(least) - F.col("ml"))), F.substring("lctx", F.lit(1), 4 * F.col("ml"))
+        return rows.select(*_GROUP, "ml", F.xxhash64(x).alias("x"), F.xxhash64(y).alias("y"), "lo", "hi")
+
+    spots = open_.groupBy("kmer").agg(F.min("l0").alias("l0"), F.max("l1").alias("l1"))
+    seen = passages(groups.join(spots, "kmer")).groupBy("kmer", "ml", "x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mine = passages(groups.join(open_, _GROUP)).drop("lo", "hi")
+    found = mine.join(seen.where("lo < hi").drop("lo", "hi"), ["kmer", "ml", "x", "y"])
+    return found.select(*_GROUP, "ml", (F.lit(least) - F.col("ml")).alias("mr")), open_
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: bool = False) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, start_word, end_word, n_words) of repeated passages.
 
@@ -139,6 +184,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: boo
        are sorted by what follows and again by what precedes, range-partitioned over the
        full key, so that even one hot start spreads over tasks; neighbours are compared and
        their match extended both ways. Pairs at the tasks' edges are compared afterwards.
+       Rows whose longest matches to both sides are with different rows are checked exactly.
     4. Matches return to all members of their group and are merged by document.
 
     Null or short texts and rows without doc_id report nothing; rows that repeat a doc_id
@@ -165,16 +211,20 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: boo
     groups = materialize(groups.drop("m"), "groups")
     whole = groups.where((F.col("lo") < F.col("hi")) & (F.col("nl") + F.col("nr") >= least))
     matches = [whole.select(*_GROUP, F.col("nl").alias("ml"), F.col("nr").alias("mr"))]
-    compared = []
-    for keys in (["kmer", "rctx", "lctx", "lo"], ["kmer", "lctx", "rctx", "lo"]):
+    compared, bounds = [], []
+    for by_right, keys in ((True, ["kmer", "rctx", "lctx", "lo"]), (False, ["kmer", "lctx", "rctx", "lo"])):
         rows = groups.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-        out = materialize(rows.mapInPandas(lean(_neighbours(least, left, right, True)), _MATCH), "matches")
-        edge = out.where("ml < 0").select(*groups.columns).distinct().coalesce(1).sortWithinPartitions(*keys)
-        compared.append(out)
-        matches += [out.where("ml >= 0"), edge.mapInPandas(lean(_neighbours(least, left, right, False)), _MATCH)]
+        out = materialize(rows.mapInPandas(lean(_neighbours(least, left, right, by_right, True)), _MATCH), "matches")
+        edge = out.where(F.col("kind") == _AT_EDGE).select(*groups.columns).distinct().coalesce(1).sortWithinPartitions(*keys)
+        edge = materialize(edge.mapInPandas(lean(_neighbours(least, left, right, by_right, False)), _MATCH), "edges")
+        compared += [out, edge]
+        both = out.union(edge).select(*_GROUP, "ml", "mr", "kind")
+        matches.append(both.where(F.col("kind") == _PAIR).drop("kind"))
+        bounds.append(both.where(F.col("kind") == _BOUND).drop("kind"))
+    hidden, open_ = _hidden(groups, *bounds, least)
     union = matches[0]
-    for m in matches[1:]:
-        union = union.union(m.select(*_GROUP, "ml", "mr"))
+    for m in [*matches[1:], hidden]:
+        union = union.union(m)
     extents = union.groupBy(*_GROUP).agg(F.collect_set(F.struct("ml", "mr")).alias("extents"))
     spans = found.select(*_GROUP, "doc_id", "p").join(extents, _GROUP).select("doc_id", "p", F.explode("extents").alias("e"))
     spans = spans.select("doc_id", (F.col("p") - F.col("e.ml")).alias("s"), (F.col("p") + F.col("e.mr")).alias("e")).distinct()
@@ -183,5 +233,5 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: boo
     spans = spans.withColumn("island", F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(order))
     out = spans.groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))
     out = materialize(out.select("doc_id", F.col("start_word").cast("long"), F.col("end_word").cast("long"), (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words")), "passages")
-    discard(found, groups, *compared)
+    discard(found, groups, open_, *compared)
     return out
