@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, discard, grams, lean, materialize, mix, partitions, small_batches, words
+from .common import BROADCAST_IDS, U64, discard, grams, lean, materialize, mix, partitions, small_batches, words
 
 
 def minimisers(h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +142,8 @@ def _neighbours(least: int, left: int, right: int, by_right: bool, edges: bool):
     return neighbours
 
 
-def _hidden(groups: DataFrame, right: DataFrame, left: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Matches that neither order shows: (_GROUP, ml, mr) of single passages of `least` words; and a table to discard.
+def _hidden(groups: DataFrame, right: DataFrame, left: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Matches that neither order shows: (_GROUP, ml, mr) of single passages of `least` words; and tables to discard.
 
     A row whose longest matches to the right and to the left are with different rows may
     have a shorter one with a third, long enough on both sides together. Such rows are few;
@@ -161,10 +161,13 @@ def _hidden(groups: DataFrame, right: DataFrame, left: DataFrame, least: int) ->
         return rows.select(*_GROUP, "ml", F.xxhash64(x).alias("x"), F.xxhash64(y).alias("y"), "lo", "hi")
 
     spots = open_.groupBy("kmer").agg(F.min("l0").alias("l0"), F.max("l1").alias("l1"))
-    seen = passages(groups.join(spots, "kmer")).groupBy("kmer", "ml", "x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    mine = passages(groups.join(open_, _GROUP)).drop("lo", "hi")
+    spots = materialize(spots, "spots")
+    few = spots.count() <= BROADCAST_IDS
+    near = materialize(groups.join(F.broadcast(spots) if few else spots, "kmer"), "near")
+    seen = passages(near).groupBy("kmer", "ml", "x", "y").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mine = passages(near.drop("l0", "l1").join(open_, _GROUP)).drop("lo", "hi")
     found = mine.join(seen.where("lo < hi").drop("lo", "hi"), ["kmer", "ml", "x", "y"])
-    return found.select(*_GROUP, "ml", (F.lit(least) - F.col("ml")).alias("mr")), open_
+    return found.select(*_GROUP, "ml", (F.lit(least) - F.col("ml")).alias("mr")), [open_, spots, near]
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: bool = False) -> DataFrame:
@@ -221,7 +224,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: boo
         both = out.union(edge).select(*_GROUP, "ml", "mr", "kind")
         matches.append(both.where(F.col("kind") == _PAIR).drop("kind"))
         bounds.append(both.where(F.col("kind") == _BOUND).drop("kind"))
-    hidden, open_ = _hidden(groups, *bounds, least)
+    hidden, own = _hidden(groups, *bounds, least)
     union = matches[0]
     for m in [*matches[1:], hidden]:
         union = union.union(m)
@@ -233,5 +236,5 @@ def repeated_passages(docs: DataFrame, least: int = 50, k: int = 10, within: boo
     spans = spans.withColumn("island", F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(order))
     out = spans.groupBy("doc_id", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))
     out = materialize(out.select("doc_id", F.col("start_word").cast("long"), F.col("end_word").cast("long"), (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words")), "passages")
-    discard(found, groups, open_, *compared)
+    discard(found, groups, *own, *compared)
     return out
