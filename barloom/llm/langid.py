@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -18,8 +19,15 @@ ORDER = 5
 DOCS_A_LANGUAGE = 2_000
 #: The most n-grams of the highest order in a model; the rarest go first, by their count.
 MAX_NGRAMS = 250_000
-#: Nats a character beyond what calibration texts show that a text may have.
-MARGIN = 1.0
+#: Nats a character beyond what calibration texts show that a text may have, where one language alone is learned.
+MARGIN = 0.5
+#: The lengths, in characters, at which the limits of rejection are calibrated; others lie between them.
+LENGTHS = (4, 8, 16, 32, 64, 128, 256, 512)
+#: Characters of a piece that has its own best language when a text is looked at again.
+PIECE = 128
+#: Fewer calibration texts of a length give way to those of all languages.
+_FEW = 100
+_MARK = re.compile(r"[A-Za-z0-9_+/=-]{8,}")
 #: Characters scored at once.
 _BLOCK = 1 << 18
 _P = U64(0x9E3779B97F4A7C15)
@@ -39,6 +47,11 @@ def codes(text: str) -> np.ndarray:
     return c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]] if len(c) else c
 
 
+def unmarked(text: str) -> str:
+    """The text without identifiers, keys and the like: runs of 8 characters or more with both digits and letters."""
+    return _MARK.sub(lambda m: " " if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) else m[0], text)
+
+
 def keys(c: np.ndarray, order: int) -> list[np.ndarray]:
     """For n from 1 to order: the hash of the n characters that end at each place of c[order-1:]."""
     out, n = [], len(c) - order + 1
@@ -140,7 +153,8 @@ class Model:
             p = own + share[c_at[first]] * lower
             self.prob[k] = Table(union, np.log(p))
             self.back[k] = Table(contexts, np.log(np.maximum(share, 1e-9)))
-        self.limit: dict[str, tuple[float, float]] = {}
+        #: By language, the most nats a character that a text of each of LENGTHS may have.
+        self.limit: dict[str, np.ndarray] = {}
 
     def _block(self, c: np.ndarray) -> np.ndarray:
         ks = keys(c, self.order)
@@ -173,6 +187,62 @@ class Model:
             total -= self._block(c[i : i + _BLOCK + self.order - 1]).sum(axis=0, dtype=np.float64)
         return n, total / n
 
+    def pieces(self, text: str, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of each piece of the text (of its first `most` characters), and their nats in every language."""
+        c = codes(text)
+        if not c.any():
+            return np.empty(0, dtype=np.int64), np.empty((0, len(self.langs)))
+        c = np.r_[np.zeros(self.order, dtype=np.uint32), c[1:] if c[0] == 0 else c][: most and most + self.order]
+        n, sums = len(c) - self.order, []
+        for i in range(1, n + 1, _BLOCK):
+            b = self._block(c[i : i + _BLOCK + self.order - 1])
+            sums.append(-np.add.reduceat(b, np.arange(0, len(b), PIECE), axis=0, dtype=np.float64))
+        return np.diff(np.r_[np.arange(0, n, PIECE), n]), np.concatenate(sums)
+
+    def fits(self, text: str, lang: str, n: int, h: float) -> bool:
+        """Whether a text of n characters, with h nats each in lang, keeps lang's limit for its length.
+
+        A text above it gets a second look: identifiers are left out (where a third of the
+        text or more remains), and each piece counts in the language it fits best, so keys
+        in a short text, or a passage in another learned language, do not reject it.
+        """
+        if lang not in self.limit:
+            return True
+        if h <= self._most(lang, n):
+            return True
+        size, nats = self.pieces(unmarked(text))
+        left = int(size.sum())
+        return left > 0 and 3 * left >= n and bool(nats.min(axis=1).sum() / left <= self._most(lang, left))
+
+    def _most(self, lang: str, n: int) -> float:
+        return float(np.interp(math.log(n), np.log(LENGTHS), self.limit[lang]))
+
+    def calibrate(self, known: pd.DataFrame, miss: float) -> None:
+        """Sets the limits from known(lang, length, own, rest): nats of texts of each length.
+
+        `own` has a text's nats with all languages at hand, `rest` without its own one, as
+        if that had not been learned. The limit of a language and length lies half way
+        between what 99 of 100 of its own texts keep and what 95 of 100 texts of the nearest
+        language left out exceed, but never below what all but a share of 2 x `miss` of its own texts keep:
+        where both overlap, as in short texts, its own texts stay. With one language there is no
+        rest: MARGIN is added. Languages with few texts take the spread of all.
+        """
+        known = known[known["length"].isin(LENGTHS)]
+        for lang in known["lang"].unique():
+            out: list[float] = []
+            for length in LENGTHS:
+                every = known[known["length"] == length]
+                mine = every.loc[every["lang"] == lang, "own"]
+                if not len(mine):  # no text is so long
+                    out.append(out[-1] if out else math.inf)
+                    continue
+                middle = every.groupby("lang")["own"].transform("median")
+                spread = mine - mine.median() if len(mine) >= _FEW else every["own"] - middle
+                keep, most = (float(mine.median() + spread.quantile(q)) for q in (0.99, 1 - 2 * miss))
+                rest = every.dropna(subset=["rest"]).groupby("lang")["rest"].quantile(0.05).min()
+                out.append(most + MARGIN if math.isnan(rest) else max(most, (keep + rest) / 2))
+            self.limit[lang] = np.array(out)
+
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, nats a character, and whether the model accepts the text.
 
@@ -185,8 +255,7 @@ class Model:
         best = int(h.argmin())
         w = np.exp(-10 * (h - h[best]))
         lang = self.langs[best]
-        mean, far = self.limit.get(lang, (0.0, math.inf))
-        return lang, float(1 / w.sum()), float(h[best]), bool(h[best] <= mean + far * (1 + 4 / math.sqrt(n)))
+        return lang, float(1 / w.sum()), float(h[best]), self.fits(text, lang, n, float(h[best]))
 
 
 def _counts(order: int):
@@ -213,14 +282,36 @@ def _rows(seen):
         yield pd.DataFrame({"lang": lang, "gram": list(c), "n": list(c.values())})
 
 
+def calibration(model: Model, pdf: pd.DataFrame) -> pd.DataFrame:
+    """(lang, length, own, rest) of pdf(text, lang)'s beginnings of each of LENGTHS, for Model.calibrate.
+
+    A text shorter than a length by less than half counts there as a whole.
+    """
+    out = []
+    for text, lang in zip(pdf["text"], pdf["lang"]):
+        if lang not in model.langs:
+            continue
+        text, j = unmarked(text), model.langs.index(lang)
+        size, nats = model.pieces(text, LENGTHS[-1])
+        n = int(size.sum())
+        if not n or nats.sum(axis=0).argmin() != j:  # labels may be wrong
+            continue
+        for length in LENGTHS:
+            if 2 * n <= length:
+                break
+            x = nats if length == LENGTHS[-1] else model.pieces(text, length)[1]
+            others = np.delete(x, j, axis=1)
+            m = min(n, length)
+            out.append((lang, length, x.min(axis=1).sum() / m, others.min(axis=1).sum() / m if others.shape[1] else math.nan))
+    return pd.DataFrame(out, columns=["lang", "length", "own", "rest"])
+
+
 def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER, max_ngrams: int = MAX_NGRAMS, miss: float = 0.001) -> Model:
     """A model from docs(doc_id, text, lang): rows with null text or lang teach nothing.
 
     Of each language about per_lang documents are used, drawn by a hash of doc_id: three
-    quarters give the counts, a quarter calibrates the rejection. A text is rejected if its
-    entropy exceeds the language's calibration mean by more than the limit: the distance that
-    a share `miss` of the calibration texts exceeds plus MARGIN, wider for short texts. A few odd
-    tokens in a short text of the language thus do not reject it; noise and other scripts do.
+    quarters give the counts, a quarter calibrates the rejection, for each length of text from
+    both sides: texts of the language, and texts of each other one with that left out (Model.calibrate).
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -245,18 +336,10 @@ def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER,
 
     def score(batches):
         for pdf in batches:
-            rows = []
-            for text, lang in zip(pdf["text"], pdf["lang"]):
-                n, h = sent.value.entropies(text)
-                if h is not None and lang in sent.value.langs:
-                    rows.append((lang, float(h[sent.value.langs.index(lang)]), n))
-            yield pd.DataFrame(rows, columns=["lang", "h", "n"])
-
-    known = part.where("held").select("text", "lang").mapInPandas(lean(score), "lang string, h double, n long").toPandas()
-    for lang, x in known.groupby("lang"):
-        mean = float(x["h"].median())
-        z = (x["h"] - mean) / (1 + 4 / np.sqrt(x["n"]))
-        model.limit[lang] = (mean, float(max(0.0, z.quantile(1 - miss)) + MARGIN))
+            yield calibration(sent.value, pdf)
+
+    known = part.where("held").select("text", "lang").mapInPandas(lean(score), "lang string, length int, own double, rest double").toPandas()
+    model.calibrate(known, miss)
     return model
 
 
