@@ -11,6 +11,8 @@ from .common import lower_ascii
 BUCKETS, PLACE_BITS, HASH_BITS = 64, 23, 34
 #: Minima of a bucket that make its tuple; units of a k-mer; code points of a unit at most.
 TUPLE, K, UNIT = 2, 3, 8
+#: Odd multipliers of four orders of the buckets, in which buckets with too few k-mers borrow.
+ORDERS = (1, 29, 43, 55)
 #: Steps of the search for the first equal value, together 2^23 - 1 places.
 _STEPS = [1 << i for i in range(22, -1, -1)]
 
@@ -21,9 +23,12 @@ def signature(text: Column) -> Column:
     A text's units are its words, ASCII-lower-cased and cut after 8 code points. Each run of
     3 units (or, in a shorter text, all of them) is a k-mer, numbered by its occurrence.
     One hash of (k-mer, occurrence) splits them into 64 buckets and orders each (the
-    one-permutation form of 64 hash functions). A bucket's two least are put back into text
+    one-permutation form of 64 hash functions). A bucket with fewer than two borrows from the
+    next buckets in one of four fixed orders, so each bucket draws two of ALL k-mers by an order
+    of its own, however short the text. A bucket's two least are put back into text
     order and hashed together. Two texts agree in a bucket only if the minima and their order agree,
-    so moves and edits both count. Empty and null texts have no buckets.
+    so moves and edits both count. Empty and null texts have no buckets,
+    all others have 64.
     """
     units = F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"), F.lit(0))
     mask = (1 << PLACE_BITS) - 1
@@ -67,7 +72,8 @@ def signature(text: Column) -> Column:
             return F.shiftright(x, top)
 
         least = F.filter(s, lambda x, i: (i < TUPLE) | (bucket(F.get(s, i - TUPLE)) != bucket(x)))
-        return _with(least, lambda m: F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (bucket(F.get(m, i - 1)) != bucket(x)), _tuple(m, x, i, bucket))), lambda t: t.isNotNull()))
+        own = lambda m: F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (bucket(F.get(m, i - 1)) != bucket(x)), _tuple(m, x, i, bucket))), lambda t: t.isNotNull())
+        return _with(least, lambda m: F.when((F.size(m) == TUPLE * BUCKETS) | (F.size(m) == 0), own(m)).otherwise(_borrowed(m)))
 
     return _with(_with(_with(units, packed), numbered), tuples)
 
@@ -84,6 +90,42 @@ def _tuple(m: Column, x: Column, i: Column, bucket) -> Column:
     return F.struct(bucket(x).cast("int").alias("b"), F.xxhash64(F.transform(ordered, lambda y: y["h"])).alias("v"))
 
 
+def _borrowed(m: Column) -> Column:
+    """The tuples of all buckets of a text that leaves some with fewer than two.
+
+    `m` has the least of each bucket. Bucket b takes, in the cyclic order c -> c * ORDERS[b % 4]
+    of the buckets, the first two from its own place on; with two of its own these are they.
+    """
+    top, low = HASH_BITS + PLACE_BITS, (1 << HASH_BITS + PLACE_BITS) - 1
+
+    def order(j: int) -> Column:
+        back = pow(ORDERS[j], -1, BUCKETS)
+
+        def times(x: Column, by: int) -> Column:
+            c = (F.shiftright(x, top) * F.lit(by)).bitwiseAND(F.lit(BUCKETS - 1))
+            return F.shiftleft(c.cast("long"), top).bitwiseOR(x.bitwiseAND(F.lit(low)))
+
+        def drawn(s: Column) -> Column:
+            n = F.size(s)
+
+            def starting(x: Column, i: Column) -> Column:
+                """The buckets of this order whose first k-mer is x, with the tuple that starts there."""
+                at = F.shiftright(x, top).cast("int")
+                before = F.when(i > 0, F.shiftright(F.get(s, i - 1), top).cast("int")).otherwise(F.shiftright(F.get(s, n - 1), top).cast("int") - BUCKETS)
+                two = F.when(n > 1, F.array(x, F.get(s, (i + 1) % n))).otherwise(F.array(x))
+                ordered = F.sort_array(F.transform(two, lambda y: F.struct(y.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("p"), F.shiftright(times(y, back), PLACE_BITS).alias("h"))))
+                value = F.xxhash64(F.transform(ordered, lambda y: y["h"]))
+                places = F.when(before < at, F.transform(F.sequence(before + 1, F.greatest(at, before + 1)), lambda q: (q * F.lit(back)).bitwiseAND(F.lit(BUCKETS - 1)))).otherwise(F.array().cast("array<int>"))
+                mine = F.filter(places, lambda b: b % len(ORDERS) == j)
+                return F.when(F.size(mine) > 0, _with(value, lambda v: F.transform(mine, lambda b: F.struct(b.alias("b"), v.alias("v"))))).otherwise(F.array().cast("array<struct<b:int,v:bigint>>"))
+
+            return F.flatten(F.transform(s, starting))
+
+        return _with(F.sort_array(F.transform(m, lambda x: times(x, ORDERS[j]))), drawn)
+
+    return F.sort_array(F.concat(*[order(j) for j in range(len(ORDERS))]))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """The share of buckets, of those that either signature fills, in which they agree; 1 if both are empty."""
     same = F.size(F.array_intersect(a, b))
