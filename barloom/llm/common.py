@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import functools
+import json
 import tempfile
 import uuid
 
@@ -103,6 +104,23 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def literal(values: list, kind: str) -> Column:
+    """A constant array of values of a type, one node in the plan however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def rank_in(cuts: Column, key: Column, n: int, below: bool = False) -> Column:
+    """How many of n ascending cuts lie at or below the key (with `below`: only below), by binary search."""
+    if not n:
+        return F.lit(0)
+
+    def go(at: Column, d: Column) -> Column:
+        cut = F.get(cuts, at + d - 1)
+        return F.when((at + d <= n) & (cut < key if below else cut <= key), at + d).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))]), F.lit(0), go)
+
+
 # ---------------------------------------------------------------- hashing
 
 U64 = np.uint64

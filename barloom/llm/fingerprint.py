@@ -2,140 +2,122 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import literal, lower_ascii, partitions, rank_in
 
-# Layout of the packed 64-bit values: 6 bits bucket, 34 bits hash, 23 bits place (sign bit 0).
-BUCKETS, PLACE_BITS, HASH_BITS = 64, 23, 34
-#: Minima of a bucket that make its tuple; units of a k-mer; code points of a unit at most.
-TUPLE, K, UNIT = 2, 3, 8
-#: Odd multipliers of four orders of the buckets, in which buckets with too few k-mers borrow.
-ORDERS = (1, 29, 43, 55)
-#: Steps of the search for the first equal value, together 2^23 - 1 places.
-_STEPS = [1 << i for i in range(22, -1, -1)]
+#: Buckets of a signature (a power of two), units of a k-mer, code points of a unit at most.
+BUCKETS, K, UNIT = 64, 3, 8
+_SHIFT = 64 - (BUCKETS.bit_length() - 1)
+#: Steps of the search for the first of equal values, together more places than an array has.
+_STEPS = [1 << i for i in range(30, -1, -1)]
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def signature(text: Column) -> Column:
-    """The Order MinHash signature: an array of (bucket, value) for the buckets that are not empty.
+    """The Order MinHash signature: an array of 64 values, empty for texts without words.
 
     A text's units are its words, ASCII-lower-cased and cut after 8 code points. Each run of
-    3 units (or, in a shorter text, all of them) is a k-mer, numbered by its occurrence.
-    One hash of (k-mer, occurrence) splits them into 64 buckets and orders each (the
-    one-permutation form of 64 hash functions). A bucket with fewer than two borrows from the
-    next buckets in one of four fixed orders, so each bucket draws two of ALL k-mers by an order
-    of its own, however short the text. A bucket's two least are put back into text
-    order and hashed together. Two texts agree in a bucket only if the minima and their order agree,
-    so moves and edits both count. Empty and null texts have no buckets,
-    all others have 64.
+    3 units (or, in a shorter text, all of them) is a k-mer, numbered by its occurrence. One
+    64-bit hash of (k-mer, occurrence) lays them on a circle that 64 marks divide evenly (the
+    one-permutation form of 64 hash functions, sparse buckets filled by rotation): each mark
+    draws the first two of ALL k-mers at or after it, however short the text. The two are
+    put back into text order and hashed together, so two texts agree at a mark only if the
+    minima and their order agree, and moves and edits both count. Places are 32-bit, so texts
+    of any length that Spark can hold keep their order.
     """
     units = F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"), F.lit(0))
-    mask = (1 << PLACE_BITS) - 1
 
     def kmers(u: Column) -> Column:
         n = F.size(u)
         many = F.transform(
             F.slice(u, 1, F.greatest(n - (K - 1), F.lit(0))),
-            lambda x, i: F.xxhash64(x, F.get(u, i + 1), F.get(u, i + 2)),
+            lambda x, i: F.xxhash64(x, *[F.get(u, i + j) for j in range(1, K)]),
         )
         return F.when(n >= K, many).when(n > 0, F.array(F.xxhash64(F.array_join(u, " ")))).otherwise(F.array().cast("array<bigint>"))
 
-    def packed(u: Column) -> Column:
-        """(hash without its low bits | place), sorted: equal k-mers are neighbours, in text order."""
-        return F.array_sort(F.transform(kmers(u), lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(mask)))))
+    def placed(h: Column, p: Column) -> Column:
+        return F.struct(h.alias("h"), p.alias("p"))
 
     def numbered(s: Column) -> Column:
-        """Each k-mer with its occurrence number, hashed and packed into bucket, hash and place."""
+        """The hash of each k-mer with its occurrence; `s` is sorted, so equal ones are neighbours in text order."""
 
         def same(x: Column, at: Column) -> Column:
-            return F.shiftright(F.get(s, at), PLACE_BITS) == F.shiftright(x, PLACE_BITS)
+            return F.get(s, at)["h"] == x["h"]
 
         def occurrence(x: Column, i: Column) -> Column:
             back = F.aggregate(
                 F.array(*[F.lit(d) for d in _STEPS]),
                 F.lit(0),
-                lambda acc, d: F.when((acc + d <= i) & same(x, i - acc - d), acc + d).otherwise(acc),
+                lambda acc, d: F.when((d <= i - acc) & same(x, i - acc - d), acc + d).otherwise(acc),
             )
             return F.when((i > 0) & same(x, i - 1), back).otherwise(F.lit(0))
 
-        def one(x: Column, i: Column) -> Column:
-            h = F.xxhash64(F.shiftright(x, PLACE_BITS), occurrence(x, i))
-            return F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(~mask)).bitwiseOR(x.bitwiseAND(F.lit(mask)))
-
-        return F.array_sort(F.transform(s, one))
-
-    top = HASH_BITS + PLACE_BITS
-
-    def tuples(s: Column) -> Column:
-        def bucket(x: Column) -> Column:
-            return F.shiftright(x, top)
-
-        least = F.filter(s, lambda x, i: (i < TUPLE) | (bucket(F.get(s, i - TUPLE)) != bucket(x)))
-        own = lambda m: F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (bucket(F.get(m, i - 1)) != bucket(x)), _tuple(m, x, i, bucket))), lambda t: t.isNotNull())
-        return _with(least, lambda m: F.when((F.size(m) == TUPLE * BUCKETS) | (F.size(m) == 0), own(m)).otherwise(_borrowed(m)))
+        return F.transform(s, lambda x, i: placed(F.xxhash64(x["h"], occurrence(x, i)), x["p"]))
 
-    return _with(_with(_with(units, packed), numbered), tuples)
+    def circle(h: Column) -> Column:
+        """All k-mers by their hash; only texts that repeat one need the sort that numbers them."""
+        once = F.transform(h, lambda x, i: placed(F.xxhash64(x, F.lit(0)), i))
+        again = _with(F.sort_array(F.transform(h, placed)), numbered)
+        return F.sort_array(F.when(F.size(F.array_distinct(h)) == F.size(h), once).otherwise(again))
 
+    def bucket(x: Column) -> Column:
+        return F.shiftright(x["h"], _SHIFT).cast("int") + BUCKETS // 2
 
-def _with(value: Column, use) -> Column:
-    """use(value), with value computed once: Catalyst does not share it across lambdas."""
-    return F.transform(F.array(value), lambda x: use(x))[0]
+    def first_two(s: Column) -> Column:
+        return F.filter(s, lambda x, i: (i < 2) | (bucket(F.get(s, i - 2)) != bucket(x)))
 
+    def drawn(m: Column) -> Column:
+        """The value of each mark; `m` has the first two of each bucket, so a neighbour in it is one on the circle."""
+        n = F.size(m)
 
-def _tuple(m: Column, x: Column, i: Column, bucket) -> Column:
-    mask = (1 << PLACE_BITS) - 1
-    own = F.filter(F.slice(m, i + 1, TUPLE), lambda y: bucket(y) == bucket(x))
-    ordered = F.array_sort(F.transform(own, lambda y: F.struct(y.bitwiseAND(F.lit(mask)).alias("p"), F.shiftright(y, PLACE_BITS).alias("h"))))
-    return F.struct(bucket(x).cast("int").alias("b"), F.xxhash64(F.transform(ordered, lambda y: y["h"])).alias("v"))
+        def value(x: Column, i: Column) -> Column:
+            y = F.get(m, (i + 1) % n)
+            two = F.when(x["p"] < y["p"], F.xxhash64(x["h"], y["h"])).otherwise(F.xxhash64(y["h"], x["h"]))
+            return F.when(n > 1, two).otherwise(F.xxhash64(x["h"]))
 
+        def marks(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, bucket(F.get(m, i - 1))).otherwise(F.lit(-1))
+            return F.when(bucket(x) > before, F.array_repeat(value(x, i), bucket(x) - before)).otherwise(F.array().cast("array<bigint>"))
 
-def _borrowed(m: Column) -> Column:
-    """The tuples of all buckets of a text that leaves some with fewer than two.
-
-    `m` has the least of each bucket. Bucket b takes, in the cyclic order c -> c * ORDERS[b % 4]
-    of the buckets, the first two from its own place on; with two of its own these are they.
-    """
-    top, low = HASH_BITS + PLACE_BITS, (1 << HASH_BITS + PLACE_BITS) - 1
+        last = F.array_repeat(value(F.get(m, F.lit(0)), F.lit(0)), F.lit(BUCKETS - 1) - bucket(F.get(m, n - 1)))
+        return F.when(n > 0, F.concat(F.flatten(F.transform(m, marks)), last)).otherwise(F.array().cast("array<bigint>"))
 
-    def order(j: int) -> Column:
-        back = pow(ORDERS[j], -1, BUCKETS)
+    return _with(_with(_with(_with(units, kmers), circle), first_two), drawn)
 
-        def times(x: Column, by: int) -> Column:
-            c = (F.shiftright(x, top) * F.lit(by)).bitwiseAND(F.lit(BUCKETS - 1))
-            return F.shiftleft(c.cast("long"), top).bitwiseOR(x.bitwiseAND(F.lit(low)))
 
-        def drawn(s: Column) -> Column:
-            n = F.size(s)
-
-            def starting(x: Column, i: Column) -> Column:
-                """The buckets of this order whose first k-mer is x, with the tuple that starts there."""
-                at = F.shiftright(x, top).cast("int")
-                before = F.when(i > 0, F.shiftright(F.get(s, i - 1), top).cast("int")).otherwise(F.shiftright(F.get(s, n - 1), top).cast("int") - BUCKETS)
-                two = F.when(n > 1, F.array(x, F.get(s, (i + 1) % n))).otherwise(F.array(x))
-                ordered = F.sort_array(F.transform(two, lambda y: F.struct(y.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("p"), F.shiftright(times(y, back), PLACE_BITS).alias("h"))))
-                value = F.xxhash64(F.transform(ordered, lambda y: y["h"]))
-                places = F.when(before < at, F.transform(F.sequence(before + 1, F.greatest(at, before + 1)), lambda q: (q * F.lit(back)).bitwiseAND(F.lit(BUCKETS - 1)))).otherwise(F.array().cast("array<int>"))
-                mine = F.filter(places, lambda b: b % len(ORDERS) == j)
-                return F.when(F.size(mine) > 0, _with(value, lambda v: F.transform(mine, lambda b: F.struct(b.alias("b"), v.alias("v"))))).otherwise(F.array().cast("array<struct<b:int,v:bigint>>"))
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once: Catalyst does not share it across lambdas."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
 
-            return F.flatten(F.transform(s, starting))
 
-        return _with(F.sort_array(F.transform(m, lambda x: times(x, ORDERS[j]))), drawn)
+def likeness(a: Column, b: Column) -> Column:
+    """The share of the marks at which two signatures agree; 1 if both are empty, 0 if one is."""
+    same = F.size(F.filter(a, lambda x, i: x == F.get(b, i)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(same / F.lit(BUCKETS)))
 
-    return F.sort_array(F.concat(*[order(j) for j in range(len(ORDERS))]))
 
+def text_form(sig: Column) -> Column:
+    """A signature as text: sixteen hex digits for each mark."""
+    return F.array_join(F.transform(sig, lambda v: F.lower(F.lpad(F.hex(v), 16, "0"))), "")
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of buckets, of those that either signature fills, in which they agree; 1 if both are empty."""
-    same = F.size(F.array_intersect(a, b))
-    filled = F.size(F.array_union(F.transform(a, lambda x: x["b"]), F.transform(b, lambda x: x["b"])))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(same / filled)
 
+def _cuts(base: DataFrame, blocks: int) -> list[tuple[int, int]]:
+    """Keys (i, t) that cut the rows into about `blocks` even blocks, ascending.
 
-def text_form(sig: Column) -> Column:
-    """A signature as text: for each filled bucket two hex digits, then the value's sixteen."""
-    return F.array_join(F.transform(sig, lambda x: F.lower(F.concat(F.lpad(F.hex(x["b"]), 2, "0"), F.lpad(F.hex(x["v"]), 16, "0")))), "")
+    Approximate quantiles of the ids; an id that is several of them holds many rows, which
+    quantiles of their texts' hashes cut further.
+    """
+    found = base.agg(F.percentile_approx("i", [x / blocks for x in range(1, blocks)], 10_000)).first()[0] if blocks > 1 else []
+    often = {i: n for i, n in Counter(found or []).items() if n > 1}
+    cuts = {(i, _MOST) for i in found or []}
+    if often:
+        hot = base.where(F.col("i").isin(list(often))).groupBy("i").agg(F.percentile_approx("t", [x / blocks for x in range(1, blocks)], 10_000).alias("t"))
+        cuts |= {(r["i"], t) for r in hot.collect() for t in r["t"]}
+    return sorted(cuts)
 
 
 def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -145,35 +127,38 @@ def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     as many (or all) of the next document in descending doc_id; the first follows the last.
     Nulls are last and ties follow the texts' hashes, then the texts.
 
-    Order without one global window: approximate quantiles of doc_id cut the ids into
-    blocks, a block is sorted in one task, and the block before gets a copy of each block's
-    first row, so a text is shuffled once. Signatures are computed once a text, before that.
+    Order without one global window: approximate quantiles of doc_id (of an id that many
+    rows share or lack, of the texts' hashes too) cut the rows into blocks, found by binary
+    search; a block is sorted in one task. The first row of each block is also sent, once,
+    to the block before it, so a text is shuffled once. Signatures are computed once a
+    text, before that.
 
-    Null texts count as empty; a single document is its own next; extra columns are ignored.
+    Null texts count as empty; a single document is its own next; very long texts are read
+    whole; extra columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    blocks = blocks or 4 * partitions(docs.sparkSession)
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), ident.alias("i"))
-    cuts = base.select("i").where("doc_id is not null").agg(F.percentile_approx("i", [x / blocks for x in range(1, blocks)], 10_000)).first()[0] if blocks > 1 else []
-    cuts = sorted(set(cuts or []))
-    # the block of a row: how many cuts lie at or above it, so blocks descend as ids do
-    place = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c >= F.col("i")))
-    tops = {r["block"]: (r["i"], r["h"]) for r in base.groupBy(place.alias("block")).agg(F.max("i").alias("i"), F.lit(0).alias("h")).collect()}
-    if not tops:
-        tops = {0: (0, 0)}
+    base = base.withColumn("t", F.xxhash64("text"))
+    cuts = _cuts(base, blocks)
+    plain = all(t == _MOST for _, t in cuts)  # then the texts' hashes do not matter, and need not be read
+    known = literal([i for i, _ in cuts], "bigint") if plain else literal([{"i": i, "t": t} for i, t in cuts], "struct<i:bigint,t:bigint>")
+    key = F.col("i") if plain else F.struct("i", "t")
+    # blocks descend as ids do: the number of cuts at or above a key
+    base = base.withColumn("block", F.lit(len(cuts)) - rank_in(known, key, len(cuts), below=True))
+    found = base.withColumn("part", F.spark_partition_id()).groupBy("block").agg(F.max("i").alias("i"), F.collect_set("part").alias("parts")).collect()
+    tops = {r["block"]: r["i"] for r in found} or {0: 0}
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if len({p for r in found for p in r["parts"]}) < min(cores, blocks):  # a scan of few parts would leave cores idle
+        base = base.repartition(cores, "i", "t")
     used = sorted(tops)
     before = dict(zip(used, [used[-1], *used[:-1]]))
-    # rows with the greatest id of their block also go to the block before, as its end
-    ends = F.create_map(*[F.lit(x) for b in used for x in (b, tops[b][0])])
-    prior = F.create_map(*[F.lit(x) for b in used for x in (b, before[b])])
-    rows = base.withColumn("own", place).withColumn("sig", signature(F.col("text")))
-    rows = rows.withColumn(
-        "at",
-        F.explode(F.when(ends[F.col("own")] == F.col("i"), F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("guest")), F.struct(prior[F.col("own")].alias("block"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("guest"))))),
-    )
+    top, prior = (F.get(literal([x.get(b, 0) for b in range(len(cuts) + 1)], "bigint"), F.col("block")) for x in (tops, before))
+    guests = base.where(F.col("i") == top).groupBy("block").agg(F.max(F.struct("t", "text")).alias("x"))
+    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), F.col("x.text").alias("text"), F.lit(_LEAST).alias("i"), F.col("x.t").alias("t"), prior.cast("int").alias("block"), F.lit(1).alias("guest"))
+    rows = base.withColumns({"doc_id": F.col("doc_id").cast("long"), "guest": F.lit(0)}).unionByName(guests).withColumn("sig", signature(F.col("text")))
+    rows = rows.repartition(partitions(docs.sparkSession), "block")  # a number: the next signatures cost more than their bytes say
     order = Window.partitionBy("block").orderBy("guest", F.desc("i"), F.desc("t"), F.desc("text"))
-    rows = rows.select("doc_id", "text", "sig", "i", F.col("at.block").alias("block"), F.col("at.guest").alias("guest"), F.xxhash64("text").alias("t"))
     rows = rows.withColumn("next", F.lead(F.struct("text", "sig")).over(order)).where("guest = 0")
     n = F.length("text")
     rows = rows.withColumn("n_chars", n.cast("long"))
