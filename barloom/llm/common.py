@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import ctypes.util
 import functools
 import json
+import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,25 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with scheme and host, by Spark's default file system where it has none.
+
+    So Spark and filesystem() mean the same place, whichever of them writes or reads.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + out.removeprefix("file:") if out.startswith("file:/") and not out.startswith("file://") else out
+
+
+def filesystem(uri: str):
+    """The pyarrow file system of a qualified path, and the path in it."""
+    return pafs.FileSystem.from_uri(uri)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+    """The folder that driver and executors share (spark.checkpoint.dir), qualified.
 
-    It is set here only where the session has none, as in local tests.
+    It is set here only where a local session has none, as in tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -31,12 +49,27 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: the cluster must name a shared folder")
         base = "file://" + tempfile.mkdtemp(prefix="barloom-shared-")
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return qualified(spark, base.rstrip("/"))
+
+
+_SWEPT: set[str] = set()
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/barloom/{label}-{uuid.uuid4().hex}"
+    """A new path for the application in the shared folder.
+
+    The application's folder there is deleted when the driver's JVM ends, since results may be read until then.
+    """
+    folder = f"{shared_dir(spark)}/barloom/{spark.sparkContext.applicationId}"
+    if folder not in _SWEPT:
+        _SWEPT.add(folder)
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -17,7 +18,7 @@ from .common import U64, lean, mix, small_batches
 ORDER = 5
 #: The bound of the labelled sample that is fitted: documents a language, drawn by a hash.
 DOCS_A_LANGUAGE = 2_000
-#: The most n-grams of the highest order in a model; the rarest go first, by their count.
+#: The most n-grams of each length in a model; a language over its share leaves out the rarest.
 MAX_NGRAMS = 250_000
 #: Nats a character beyond what calibration texts show that a text may have, where one language alone is learned.
 MARGIN = 0.5
@@ -34,17 +35,19 @@ _P = U64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
-def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() or 0x300 <= i < 0x370 for i in range(0x10000)])
+def _kinds() -> np.ndarray:
+    """Of each code point: 2 for a letter, 1 for a combining mark, else 0."""
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], dtype=np.uint8)
 
 
 def codes(text: str) -> np.ndarray:
-    """Lower-cased letters (and combining marks) as code points; each run of others is one 0."""
+    """Lower-cased letters and combining marks as code points; each run of others is one 0; all 0 without a letter."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letters()[np.minimum(c, 0xFFFF)]
-    letter = letter | ((c > 0xFFFF) & (c < 0xF0000) & ~((c >= 0x1F000) & (c < 0x20000)))
-    c = np.where(letter, c, 0)
-    return c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]] if len(c) else c
+    kind = _kinds()[c]
+    if not len(c) or not (kind == 2).any():
+        return np.zeros(min(1, len(c)), dtype=np.uint32)
+    c = np.where(kind > 0, c, 0)
+    return c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]
 
 
 def unmarked(text: str) -> str:
@@ -106,56 +109,52 @@ class Table:
 class Model:
     """Interpolated Kneser-Ney character models of all languages over one set of n-grams.
 
-    fit() takes the counts of n-grams of the highest order by language; lower orders use
-    continuation counts (how many different characters precede). For each n-gram that any
-    language has, `prob[n]` holds the log probability of its last character in every
-    language, interpolation done; `back[n]` the log of a context's share for lower orders.
+    `rows` (k, lang, gram, n, total) has n-grams of every length k up to `order` with their counts (of
+    the highest order; lower ones have continuation counts: how many different characters
+    precede) and the sum of the counts of their context, `discounts` the discount of each (k, lang).
+    Both are of the full counts; n-grams left out of the rows give what they had, undiscounted, to
+    their context's lower orders, so probabilities still sum to one. For each n-gram that any
+    language has, `prob[k]` holds the log probability of its last character in every
+    language, interpolation done; `back[k]` the log of a context's share for lower orders.
     """
 
-    def __init__(self, counts: pd.DataFrame, order: int = ORDER):
+    def __init__(self, rows: pd.DataFrame, discounts: dict, order: int = ORDER):
         self.order = order
-        self.langs = sorted(counts["lang"].unique())
+        self.langs = sorted(rows["lang"].unique())
         L = len(self.langs)
-        lang = np.searchsorted(self.langs, counts["lang"].to_numpy().astype(object).astype(str)) if L else np.empty(0, int)
-        grams = np.array([[ord(x) if x != " " else 0 for x in g] for g in counts["gram"]], dtype=np.uint32).reshape(-1, order)
-        n = counts["n"].to_numpy(dtype=np.float64)
-        levels = {}
-        for k in range(order, 0, -1):
-            levels[k] = (grams, lang, n)
-            # each different n-gram is one left neighbour of its last k - 1 characters
-            key = pd.DataFrame({"l": lang, "k": gram_keys(grams[:, 1:]) if k > 1 else 0})
-            first = ~key.duplicated().to_numpy()
-            cont = key.groupby(["l", "k"], sort=False).size().to_numpy(dtype=np.float64)
-            grams, lang, n = grams[first, 1:], lang[first], cont
-        self.alphabet = len(np.unique(levels[1][0])) + 1
+        self.alphabet = int(rows.loc[rows["k"] == 1, "gram"].nunique()) + 1
         self.prob, self.back = {}, {}
-        lower = np.full((1, L), 1.0 / self.alphabet)
         for k in range(1, order + 1):
-            grams, lang, n = levels[k]
+            own_rows = rows[rows["k"] == k]
+            lang = np.searchsorted(self.langs, own_rows["lang"].to_numpy().astype(object).astype(str)) if L else np.empty(0, int)
+            grams = np.array([[ord(x) if x != " " else 0 for x in g] for g in own_rows["gram"]], dtype=np.uint32).reshape(-1, k)
+            d = np.array([discounts.get((k, x), 0.5) for x in self.langs])[lang] if L else np.empty(0)
+            part = (own_rows["n"].to_numpy(dtype=np.float64) - d) / own_rows["total"].to_numpy(dtype=np.float64)
             key, ctx = gram_keys(grams), gram_keys(grams[:, :-1]) if k > 1 else np.zeros(len(grams), dtype=np.uint64)
             union, first, at = np.unique(key, return_index=True, return_inverse=True)
             contexts, c_at = np.unique(ctx, return_inverse=True)
-            total, kinds = np.zeros((len(contexts), L)), np.zeros((len(contexts), L))
-            np.add.at(total, (c_at, lang), n)
-            np.add.at(kinds, (c_at, lang), 1)
-            share = np.ones((len(contexts), L))
-            own = np.zeros((len(union), L))
-            for i in range(L):
-                mine = lang == i
-                ones, twos = (n[mine] == 1).sum(), (n[mine] == 2).sum()
-                d = ones / (ones + 2 * twos) if ones and twos else 0.5
-                seen = total[:, i] > 0
-                share[seen, i] = d * kinds[seen, i] / total[seen, i]
-                own[at[mine], i] = (n[mine] - d) / total[c_at[mine], i]
-            if k > 1:
-                below = self.prob[k - 1].find(gram_keys(grams[first, 1:]))
-                lower = np.exp(self.prob[k - 1].value[below].astype(np.float64))
+            share, own = np.ones((len(contexts), L)), np.zeros((len(union), L))
+            np.subtract.at(share, (c_at, lang), part)
+            own[at, lang] = part
+            lower = np.exp(self._log(grams[first, 1:])) if k > 1 else np.full((len(union), L), 1.0 / self.alphabet)
             p = own + share[c_at[first]] * lower
             self.prob[k] = Table(union, np.log(p))
             self.back[k] = Table(contexts, np.log(np.maximum(share, 1e-9)))
         #: By language, the most nats a character that a text of each of LENGTHS may have.
         self.limit: dict[str, np.ndarray] = {}
 
+    def _log(self, grams: np.ndarray) -> np.ndarray:
+        """The log probability of the last character of n-grams (rows of code points) in every language."""
+        out, live = np.zeros((len(grams), len(self.langs))), np.arange(len(grams))
+        for k in range(grams.shape[1], 0, -1):
+            at = self.prob[k].find(gram_keys(grams[live, -k:]))
+            out[live[at >= 0]] += self.prob[k].value[at[at >= 0]]
+            live = live[at < 0]
+            at = self.back[k].find(gram_keys(grams[live, -k:-1]) if k > 1 else np.zeros(len(live), dtype=np.uint64))
+            out[live[at >= 0]] += self.back[k].value[at[at >= 0]]
+        out[live] -= math.log(self.alphabet)
+        return out
+
     def _block(self, c: np.ndarray) -> np.ndarray:
         ks = keys(c, self.order)
         n, L = len(ks[0]), len(self.langs)
@@ -306,31 +305,73 @@ def calibration(model: Model, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["lang", "length", "own", "rest"])
 
 
+def statistics(counts: DataFrame, order: int) -> tuple[DataFrame, list[DataFrame]]:
+    """counts(lang, gram, n) of n-grams of the highest order -> (k, lang, gram, n, total) of all orders, and what to unpersist.
+
+    Each different n-gram is one left neighbour of its last k - 1 characters; `total` sums its
+    context's n. All in Spark: what goes to the driver is chosen from these, not counted there.
+    """
+    out, level, kept = None, counts.select("lang", "gram", "n"), []
+    for k in range(order, 0, -1):
+        context = F.substring("gram", 1, k - 1)
+        totals = level.groupBy("lang", context.alias("c")).agg(F.sum("n").alias("total"))
+        rows = level.withColumn("c", context).join(totals, ["lang", "c"]).select(F.lit(k).alias("k"), "lang", "gram", "n", "total")
+        out = rows if out is None else out.union(rows)
+        if k > 1:
+            level = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n")).persist()
+            kept.append(level)
+    return out, kept
+
+
+def fit(counts: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) -> Model:
+    """A model of counts(lang, gram, n): discounts and totals of all counts, then at most max_ngrams a length.
+
+    Where a length has more, its languages get even shares of the bound (what one leaves goes to
+    the others), and a language over its share leaves out its n-grams of the least counts.
+    Single characters all stay.
+    """
+    rows, kept = statistics(counts, order)
+    rows = rows.persist()
+    kinds = pd.DataFrame([tuple(r) for r in rows.groupBy("k", "lang", "n").agg(F.count("*").alias("m")).collect()], columns=["k", "lang", "n", "m"])
+    discounts, least = {}, []
+    for k, of_length in kinds.groupby("k"):
+        sizes = of_length.groupby("lang")["m"].sum().sort_values(kind="stable")
+        left, langs = max_ngrams, len(sizes)
+        for lang, size in sizes.items():
+            mine = of_length[of_length["lang"] == lang].sort_values("n", ascending=False)
+            seen = mine.set_index("n")["m"]
+            ones, twos = int(seen.get(1, 0)), int(seen.get(2, 0))
+            discounts[int(k), lang] = ones / (ones + 2 * twos) if ones and twos else 0.5
+            bound = size if k == 1 else max(1, left // langs)
+            fits = mine["n"][mine["m"].cumsum() <= bound]
+            least.append((int(k), lang, int(fits.min()) if len(fits) else int(mine["n"].max()) + 1))
+            left, langs = left - min(size, bound), langs - 1
+    chosen = F.broadcast(counts.sparkSession.createDataFrame(least, "k int, lang string, least long")) if least else None
+    found = rows.join(chosen, ["k", "lang"]).where("n >= least").drop("least").toPandas() if least else pd.DataFrame(columns=["k", "lang", "gram", "n", "total"])
+    for x in (rows, *kept):
+        x.unpersist()
+    return Model(found, discounts, order)
+
+
 def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER, max_ngrams: int = MAX_NGRAMS, miss: float = 0.001) -> Model:
     """A model from docs(doc_id, text, lang): rows with null text or lang teach nothing.
 
-    Of each language about per_lang documents are used, drawn by a hash of doc_id: three
-    quarters give the counts, a quarter calibrates the rejection, for each length of text from
-    both sides: texts of the language, and texts of each other one with that left out (Model.calibrate).
+    Of each language about per_lang documents are used, drawn by a hash of doc_id: three quarters give the counts, a quarter calibrates the rejection, for each
+    length of text from both sides: texts of the language, and texts of each other one with that left
+    out (Model.calibrate). Empty texts and an empty table give a model that knows no language.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model(pd.DataFrame({"lang": [], "gram": [], "n": []}), order)
+        return Model(pd.DataFrame({"k": [], "lang": [], "gram": [], "n": [], "total": []}), {}, order)
     rates = spark.createDataFrame([(k, per_lang / v) for k, v in sizes.items()], "lang string, rate double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     part = docs.withColumn("u", u).join(F.broadcast(rates), "lang").where("u < rate").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0)
     counts = part.where("not held or rate > 20").select("text", "lang").mapInPandas(lean(_counts(order)), "lang string, gram string, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    kinds = sorted((r["n"], r["m"]) for r in counts.groupBy("n").agg(F.count("*").alias("m")).collect())
-    left, least = sum(m for _, m in kinds), 1
-    for n, m in kinds:
-        if left <= max_ngrams:
-            break
-        left, least = left - m, n + 1
-    model = Model(counts.where(F.col("n") >= least).toPandas(), order)
+    model = fit(counts, order, max_ngrams)
     counts.unpersist()
     sent = spark.sparkContext.broadcast(model)
 

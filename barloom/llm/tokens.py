@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import functools
+import json
 import mmap
 import os
 import re
@@ -18,10 +19,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, partitions, shared_path, small_batches
+from .common import filesystem, lean, materialize, partitions, qualified, shared_path, small_batches
 
 #: Fixed value: the first bytes of an index file.
 MAGIC = b"BLTOKEN1"
+#: Bytes of ids after which a task starts its next pair of files.
+ROLL = 128 << 20
 #: Distinct pieces whose ids a worker remembers; once full, others are encoded batch by batch.
 REMEMBERED = 500_000
 OTHERS = re.compile(r"[^\x09-\x0d\x20-\u024f]|<\|")
@@ -39,6 +42,24 @@ def _pieces() -> re.Pattern:
 
 PIECES = _pieces()
 
+# The rules of word_bpe_49k.json that PIECES and OTHERS stand for.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None, "padding": None, "post_processor": None,
+}
+
+
+def _by_rule(loaded: dict) -> bool:
+    """Whether a vocabulary's rules are RULES, with no added tokens but such as start with <|."""
+    return all(loaded.get(k) == v for k, v in RULES.items()) and all(t["content"].startswith("<|") for t in loaded.get("added_tokens", []))
+
 
 def _byte_letters() -> dict:
     """The printable stand-ins of byte-level BPE: bytes that are not printable Latin-1 follow U+0100."""
@@ -52,7 +73,8 @@ class Encoder:
     The vocabulary lower-cases, splits by PIECES and encodes pieces one by one, so a text's
     ids are its pieces' ids in a row. Texts of characters below U+0250 (which NFC leaves as
     they are, and which are lower-cased one by one) are split here and their pieces given to
-    the library's model; others, and texts that may hold a special token, go to the library whole.
+    the library's model; others, and texts that may hold a special token, go to the library whole, as do
+    all texts where the vocabulary has other rules than these.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -60,6 +82,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
+        self.split = _by_rule(json.loads(self.tok.to_str()))
         self.model = self.tok.model
         self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.end = self._bytes([end_id])
@@ -74,7 +97,7 @@ class Encoder:
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text (null: none) and the end id, as bytes in this machine's order."""
-        split = [PIECES.findall(t.lower()) if t and not OTHERS.search(t) else None for t in texts]
+        split = [PIECES.findall(t.lower()) if self.split and t and not OTHERS.search(t) else None for t in texts]
         ids = {x: self._piece(x) for x in set().union(*filter(None, split)).difference(self.known)}
         if len(self.known) < REMEMBERED:
             self.known |= ids
@@ -92,47 +115,56 @@ def encoder_of(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
-def _filesystem(uri: str):
-    fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-    return fs, path
-
-
-def _writer(folder: str, encoder, batch: int):
-    """Writes the rows of a task, in their order, as one pair of files; returns its manifest row."""
+def _writer(folder: str, encoder, batch: int, roll: int):
+    """Writes the rows of a task, in their order, as pairs of files; returns their manifest rows."""
 
     def write(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
-        fs, path = _filesystem(name)
-        fs.create_dir(os.path.dirname(path), recursive=True)
-        enc, ids, ends, total = encoder(), [], [0], 0
-        with fs.open_output_stream(path + ".bin") as out:
-            for pdf in batches:
-                texts = pdf["text"].tolist()
-                ids += [None if pd.isna(x) else int(x) for x in pdf["doc_id"].astype("Int64")]
-                for i in range(0, len(texts), batch):
-                    data = enc.encode(texts[i : i + batch])
-                    ends += (total + np.cumsum([len(x) // enc.width for x in data])).tolist()
-                    total = ends[-1]
-                    out.write(b"".join(data))
-        if ids:
-            with fs.open_output_stream(path + ".idx") as out:
-                out.write(MAGIC + struct.pack("<QQ", len(ids), enc.width))
-                out.write(np.array(ends, dtype="<u8").tobytes())
-                out.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes())
-                out.write(np.array([x is None for x in ids], dtype="u1").tobytes())
-            yield pd.DataFrame({"part": [part], "path": [name], "docs": [len(ids)], "tokens": [total]})
+        part, enc, made = TaskContext.get().partitionId(), encoder(), []
+        fs, top = filesystem(folder)
+        fs.create_dir(top, recursive=True)
+        out, ids, ends = None, [], [0]
+
+        def close():
+            nonlocal out, ids, ends
+            out.close()
+            name = made[-1][2]
+            with fs.open_output_stream(f"{top}/{name}.idx") as f:
+                f.write(MAGIC + struct.pack("<QQ", len(ids), enc.width))
+                f.write(np.array(ends, dtype="<u8").tobytes())
+                f.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes())
+                f.write(np.array([x is None for x in ids], dtype="u1").tobytes())
+            made[-1] = (part, len(made) - 1, f"{folder}/{name}", len(ids), ends[-1])
+            out, ids, ends = None, [], [0]
+
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            named = [None if pd.isna(x) else int(x) for x in pdf["doc_id"].astype("Int64")]
+            for i in range(0, len(texts), batch):
+                if out is None:
+                    made.append((part, len(made), f"part-{part:06d}-{len(made):04d}-{uuid.uuid4().hex}"))
+                    out = fs.open_output_stream(f"{top}/{made[-1][2]}.bin")
+                data = enc.encode(texts[i : i + batch])
+                ids += named[i : i + batch]
+                ends += (ends[-1] + np.cumsum([len(x) // enc.width for x in data])).tolist()
+                out.write(b"".join(data))
+                if ends[-1] * enc.width >= roll:
+                    close()
+        if out is not None:
+            close()
+        if made:
+            yield pd.DataFrame(made, columns=["part", "seq", "path", "docs", "tokens"])
 
     return write
 
 
-def write_tokens(docs: DataFrame, encoder, folder: str, batch: int = 256) -> DataFrame:
+def write_tokens(docs: DataFrame, encoder, folder: str, batch: int = 256, roll: int = ROLL) -> DataFrame:
     """Writes docs(doc_id, text) in ascending doc_id order (nulls first); the manifest, with bases.
 
     encoder() gives an object whose encode(texts) gives each text's ids as bytes. Documents
-    are range-partitioned by doc_id; a task writes <part>.bin, ids as flat little-endian unsigned
+    are range-partitioned by doc_id; a task writes pairs of files, a new one once `roll` bytes are
+    reached, so a reader's buffer is bounded (but for a document longer than that): <part>.bin, ids as flat little-endian unsigned
     integers of 16 bits (32 where the vocabulary needs them), and <part>.idx: magic, document
     count, bytes of an id, count + 1 offsets of 64 bits into the ids, doc_ids of 64 bits, and a byte a document that is 1 for a null id. Names
     are unique to the attempt, and only files of finished tasks are in the manifest, which
@@ -142,17 +174,18 @@ def write_tokens(docs: DataFrame, encoder, folder: str, batch: int = 256) -> Dat
     small_batches(docs.sparkSession)
     parts = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = parts.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = materialize(rows.mapInPandas(lean(_writer(folder, encoder, batch)), "part int, path string, docs long, tokens long"), "manifest")
+    manifest = materialize(rows.mapInPandas(lean(_writer(folder, encoder, batch, roll)), "part int, seq int, path string, docs long, tokens long"), "manifest")
     found, base = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["part"]):
+    for r in sorted(manifest.collect(), key=lambda r: (r["part"], r["seq"])):
         found.append((*r, base))
         base += r["tokens"]
     spark = docs.sparkSession
-    return spark.createDataFrame(found, "part int, path string, docs long, tokens long, base long").repartition(max(1, len(found)), "part")
+    manifest = spark.createDataFrame(found, "part int, seq int, path string, docs long, tokens long, base long")
+    return manifest.repartition(max(1, len(found)), "path")
 
 
 def _mapped(fs, path: str):
-    """A file's bytes: memory-mapped if it is local, else as one buffer."""
+    """A file's bytes: memory-mapped if it is local, else as one buffer (of about ROLL bytes)."""
     if isinstance(fs, pafs.LocalFileSystem) or getattr(fs, "type_name", "") == "local":
         with open(path, "rb") as f:
             return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.path.getsize(path) else b""
@@ -166,7 +199,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def read(batches):
         for pdf in batches:
             for name, n_docs, tokens, base in zip(pdf["path"], pdf["docs"], pdf["tokens"], pdf["base"]):
-                fs, path = _filesystem(name)
+                fs, path = filesystem(name)
                 idx, data = _mapped(fs, path + ".idx"), _mapped(fs, path + ".bin")
                 n, width = struct.unpack_from("<QQ", idx, len(MAGIC))
                 if idx[: len(MAGIC)] != MAGIC or width not in (2, 4) or n != n_docs or len(idx) != len(MAGIC) + 16 + 8 * (n + 1) + 9 * n:
@@ -194,7 +227,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, folder:
     """Writes all documents (null text: empty) with a vocabulary of word_bpe_49k.json's rules; reads them back.
 
     `vocabulary` names a file beside the public_tokenizers package, or a path that every
-    executor has. end_id is appended to each document. An empty table returns no rows.
+    executor has. end_id is appended to each document. Without a folder the files live in the shared
+    folder, as long as the application does. Rows that repeat a doc_id follow each other, by a hash of their
+    texts; very long texts are encoded whole; other columns are ignored. An empty table returns no rows.
     """
 
     def encoder():
@@ -202,5 +237,5 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, folder:
 
         return encoder_of(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary), end_id)
 
-    folder = folder or shared_path(docs.sparkSession, "tokens")
+    folder = qualified(docs.sparkSession, folder or shared_path(docs.sparkSession, "tokens"))
     return read_tokens(write_tokens(docs, encoder, folder))

@@ -8,12 +8,11 @@ import struct
 import uuid
 
 import pandas as pd
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, partitions, shared_path, small_batches
+from .common import filesystem, lean, materialize, partitions, qualified, shared_path, small_batches
 
 # Fixed values of the formats: the skippable frame that holds the dictionary, zstd's own
 # magic, the WARC version and the revisit profile.
@@ -25,10 +24,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROLL, SAMPLE_PAGES, SAMPLE_BYTES, DICT_BYTES = 128 << 20, 200, 16_384, 65_536
 
 
-def _filesystem(uri: str):
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from about 200 pages, drawn by a hash; b"" if there are too few."""
     texts = pages.select("page_id", "html").where("length(html) > 0")
@@ -170,7 +165,7 @@ def _writer(folder: str, words: bytes, roll: int):
         z = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=True) if known else zstandard.ZstdCompressor(level=3, write_checksum=True)
         lead = struct.pack("<II", DICT_MAGIC, len(words)) + words if words else b""
         part, out, made, done = TaskContext.get().partitionId(), None, None, []
-        fs, top = _filesystem(folder)
+        fs, top = filesystem(folder)
         fs.create_dir(top, recursive=True)
         for pdf in batches:
             ids, firsts = pdf["page_id"].astype("Int64"), pdf["first_id"].astype("Int64")
@@ -205,11 +200,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     empty record id. Digests are grouped with map-side combination; what returns to the
     pages is one row a revisit, joined by page_id, so a payload that many pages share meets
     in no task. Names are unique to the attempt and only finished tasks' files are in the
-    manifest, which is written once. A url's white space is normalised in its header.
+    manifest, which is written once. A url's white space is normalised in its header. Without a
+    folder the archives live in the shared folder, as long as the application does.
     """
     small_batches(pages.sparkSession)
     spark = pages.sparkSession
-    folder = folder or shared_path(spark, "warc")
+    folder = qualified(spark, folder or shared_path(spark, "warc"))
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     slim = materialize(rows.where(f"size >= {least} and page_id is not null").select("page_id", "digest"), "digests")
@@ -230,7 +226,7 @@ def _reader():
     def read(batches):
         for pdf in batches:
             for path, records in zip(pdf["path"], pdf["records"]):
-                fs, at = _filesystem(path)
+                fs, at = filesystem(path)
                 seen, rows = 0, []
                 with fs.open_input_stream(at) as stream:
                     for data in frames(stream):

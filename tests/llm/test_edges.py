@@ -105,6 +105,8 @@ def test_language_id(spark, docs, none):
         p = [np.exp(-model.entropies(context)[1][lang]) for _ in range(1)]
         assert 0 < p[0] <= 1
     got = {x.doc_id: x for x in langid.predict(docs, model).collect() if x.doc_id}
+    odd = spark.createDataFrame([(1, "\u0301 \U0001d7cf \U00010107 12"), (2, "\u0301\U00020000")], "doc_id long, text string")  # marks, a digit, a number; a letter
+    assert [x.lang_pred == "und" for x in sorted(langid.predict(odd, model).collect())] == [True, False]
     assert [got[i].lang_pred for i in (4, 5, 6, 12)] == ["und"] * 4 and got[4].score == 0 and not got[4].accepted
     assert not got[13].accepted and 0 <= got[9].score <= 1
     seen = langid.predict(spark.createDataFrame([(1, "abab abba baab"), (2, "gfgf fgfg ffgg")], "doc_id long, text string"), model).collect()
@@ -115,18 +117,6 @@ def test_language_id(spark, docs, none):
     assert langid.predict(docs, empty).where("lang_pred <> 'und'").count() == 0 and langid.predict(none, model).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    import pandas as pd
-
-    text = "the cat sat on the mat and the rat ate the hat "
-    grams = pd.Series([text[i : i + 3] for i in range(len(text) - 2)]).value_counts()
-    model = langid.Model(pd.DataFrame({"lang": "en", "gram": grams.index, "n": grams.values}), order=3)
-    alphabet = sorted(set(text))
-    for context in ("th", "he", "zz", " c"):
-        total = sum(np.exp(model._block(langid.codes(context + x) if x != " " else np.array([ord(y) if y != " " else 0 for y in context + x], dtype=np.uint32)).sum()) for x in alphabet)
-        assert total == pytest.approx(1 - np.exp(model._block(np.array([ord(y) if y != " " else 0 for y in context + "q"], dtype=np.uint32)).sum()), abs=1e-4)
-
-
 def test_fingerprints(docs, none):
     got = fingerprint.fingerprints(docs, blocks=3).collect()
     rows = sorted(((r[0], r[1] or "") for r in ROWS), key=lambda r: -(r[0] if r[0] is not None else -(1 << 62)))
@@ -212,6 +202,34 @@ def test_tokens(docs, none):
     assert tokens.encode_documents(none, "word_bpe_49k.json").count() == 0
 
 
+def test_rolled_parts(spark, docs, tmp_path):
+    """Parts of a few bytes, in a folder without a scheme; other rules than the expected ones go to the library whole."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = sorted((r.start, r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in tokens.encode_documents(docs, "word_bpe_49k.json").collect())
+    encoder = lambda: tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    manifest = tokens.write_tokens(docs, encoder, f"file://{tmp_path}/t", batch=1, roll=200)
+    assert manifest.where("seq > 0").count() > 0 and manifest.count() > 5
+    assert want == sorted((r.start, r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in tokens.read_tokens(manifest).collect())
+    assert len(want) == len(tokens.encode_documents(docs, "word_bpe_49k.json", folder=str(tmp_path / "plain")).collect()) and list((tmp_path / "plain").iterdir())
+    other = json.loads(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).to_str())
+    other["normalizer"]["normalizers"].pop()  # keeps capitals
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    e = tokens.Encoder(str(tmp_path / "other.json"), 2)
+    text = "Some CAPITALS and more"
+    assert not e.split and e.encode([text])[0] == np.array(e.tok.encode(text, add_special_tokens=False).ids + [2], dtype="<u2").tobytes() != encoder().encode([text])[0]
+
+
+def test_the_applications_folder_is_known(spark):
+    from barloom.llm import common
+
+    path = common.shared_path(spark, "x")
+    assert path.startswith("file:///") and spark.sparkContext.applicationId in path and common.qualified(spark, "/a b/c") == "file:///a b/c"
+
+
 def test_pieces_are_the_librarys():
     import public_tokenizers
 

@@ -19,14 +19,14 @@ def test_left_out_language(spark, left_out):
     assert share.pop(left_out) < 0.15 and min(share.values()) > 0.98
 
 
-def test_second_look():
+def test_second_look(spark):
     """Keys in a short text, and passages of two learned languages in one, do not reject it."""
     import numpy as np
     import pandas as pd
 
     a, b = "the cat sat on the mat and the rat ate the hat ", "das ist ein haus und der hund geht in den wald "
     rows = pd.concat(langid._counts(3)([pd.DataFrame({"text": [a * 20, b * 20], "lang": ["en", "de"]})]))
-    model = langid.Model(rows, order=3)
+    model = langid.fit(spark.createDataFrame(rows), order=3)
     model.limit = {x: np.full(len(langid.LENGTHS), 1.2) for x in model.langs}
     assert model.predict(a)[3] and model.predict(a * 4 + b * 3)[3] and not model.predict("vlkq jwrx ozup mfyb " * 3)[3]
     assert model.predict("the cat sat on the mat b64b244acde2e3b0aa8f")[3] and not model.predict("cat b64b244acde2e3b0aa8fcc01ebaba3addaf")[3]
