@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -11,17 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, grams, lean, shingle_set, small_batches, words
+from .common import U64, discard, grams, lean, materialize, shingle_set, small_batches, words
 from .minhash import hash_family, signature
 
-#: Items that one pass over the documents searches for (about 60 KB of shingles a hundred
-#: items); a larger benchmark is searched in several passes, so what is sent stays bounded.
-ITEMS_A_PASS = 20_000
+#: Bytes of index that one pass over the documents searches; a larger benchmark is searched in several
+#: passes, so what is sent stays bounded (but for an item that is larger itself).
+BYTES_A_PASS = 64 << 20
 HASHES = 48
+#: Bytes of an item in the index besides its shingles: its values in the tables, and bits that may be set.
+_ITEM_BYTES = HASHES * (8 + 4 + 16)
 
 
 class Index:
-    """MinHash tables of one block of items, partitioned by set size.
+    """MinHash tables of one block of items, partitioned by set size, all in flat arrays.
 
     The class U holds items of U/2 < n <= U shingles. A document is cut into blocks of U/2
     shingles; windows of three consecutive blocks hold every passage of up to U shingles,
@@ -31,27 +32,28 @@ class Index:
     over the document's whole set, so longer or scattered copies count too.
     """
 
-    def __init__(self, items: list[tuple], percent: int, shingle: int):
-        self.percent, self.shingle = percent, shingle
+    def __init__(self, ids: list, sets: list[np.ndarray], signatures: np.ndarray, percent: int, shingle: int):
+        self.percent, self.shingle, self.ids = percent, shingle, ids
         self.a, self.b = hash_family(HASHES)
-        self.ids, self.sets = [], []
-        by_size = defaultdict(list)
-        for item, text in items:
-            s = shingle_set(text, shingle)
-            if len(s):
-                by_size[1 << math.ceil(math.log2(len(s)))].append(len(self.ids))
-                self.ids.append(item)
-                self.sets.append(s)
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        self.ends = np.cumsum(np.r_[0, n])
+        self.flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+        up = np.array([1 << math.ceil(math.log2(x)) for x in n.tolist()], dtype=np.int64)
+        row = np.arange(HASHES, dtype=np.uint64)[None, :] << U64(32)
         self.classes = []
-        for size, members in sorted(by_size.items()):
-            bits = min(20, max(16, math.ceil(math.log2(64 * len(members)))))
+        for size in np.unique(up).tolist():
+            members = np.flatnonzero(up == size)
+            bits = min(23, max(10, math.ceil(math.log2(64 * len(members)))))
+            sig = signatures[members]
             may = np.zeros((HASHES, 1 << bits), dtype=bool)
-            table = defaultdict(set)
-            for m in members:
-                for j, v in enumerate(signature(self.sets[m], self.a, self.b).tolist()):
-                    may[j, v >> (32 - bits)] = True
-                    table[j, v].add(m)
-            self.classes.append((max(1, size // 2), bits, may, dict(table)))
+            for j in range(HASHES):
+                may[j, sig[:, j] >> np.uint32(32 - bits)] = True
+            key = (row | sig.astype(np.uint64)).ravel()
+            order = np.argsort(key, kind="stable")
+            self.classes.append((max(1, size // 2), bits, np.packbits(may, axis=1, bitorder="little"), key[order], np.repeat(members, HASHES)[order].astype(np.int32)))
+
+    def _set(self, m: int) -> np.ndarray:
+        return self.flat[self.ends[m] : self.ends[m + 1]]
 
     def search(self, text: str | None) -> list[tuple]:
         """(item_id, its set size, shared shingles) of the items that the text contains."""
@@ -63,7 +65,8 @@ class Index:
             return []
         maybe: set[int] = set()
         x = (g >> U64(32)).astype(np.uint32)
-        for half, bits, may, table in self.classes:
+        row = np.arange(HASHES)[:, None]
+        for half, bits, may, keys, members in self.classes:
             step = half * max(1, 4096 // half)
             minima = [
                 np.minimum.reduceat(v := self.a[:, None] * x[None, i : i + step] + self.b[:, None], np.arange(0, v.shape[1], half), axis=1)
@@ -72,31 +75,55 @@ class Index:
             m = np.concatenate(minima, axis=1)
             pad = np.pad(m, ((0, 0), (1, 1)), constant_values=0xFFFFFFFF)
             m = np.minimum(np.minimum(pad[:, :-2], pad[:, 1:-1]), pad[:, 2:])
-            row = np.arange(HASHES)[:, None]
-            j, at = np.nonzero(may[row, m >> np.uint32(32 - bits)])
-            for key in set(zip(j.tolist(), m[j, at].tolist())):
-                maybe |= table.get(key, set())
+            top = m >> np.uint32(32 - bits)
+            j, at = np.nonzero(may[row, top >> np.uint32(3)] >> (top & np.uint32(7)).astype(np.uint8) & np.uint8(1))
+            if not len(j):
+                continue
+            key = np.unique(j.astype(np.uint64) << U64(32) | m[j, at].astype(np.uint64))
+            for lo, hi in zip(np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")):
+                maybe.update(members[lo:hi].tolist())
         if not maybe:
             return []
         whole, out = np.unique(g), []
         for m in sorted(maybe):
-            s = self.sets[m]
+            s = self._set(m)
             both = len(np.intersect1d(whole, s, assume_unique=True))
             if 100 * both >= self.percent * len(s):
                 out.append((self.ids[m], len(s), both))
         return out
 
 
+def _sketches(shingle: int):
+    """The shingles and MinHash values of each item that has any."""
+
+    def sketch(batches):
+        a, b = hash_family(HASHES)
+        for pdf in batches:
+            sets = [shingle_set(t, shingle) for t in pdf["text"]]
+            out = pd.DataFrame({"item_id": pdf["item_id"].astype("Int64"), "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "sig": [signature(s, a, b).tobytes() for s in sets]})
+            yield out[out["n"] > 0]
+
+    return sketch
+
+
 def _indexes(items: DataFrame, percent: int, shingle: int):
-    """Broadcast indexes, each of a bounded block of the items."""
+    """Broadcast indexes, each of a block of the items that is bounded in bytes.
+
+    Executors make the shingles and the values; the driver gets a block at a time and sorts it.
+    """
     small_batches(items.sparkSession)
-    items = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     spark = items.sparkSession
-    n = items.count()
-    blocks = max(1, math.ceil(n / (ITEMS_A_PASS * 3 // 4))) if n > ITEMS_A_PASS else 1
+    items = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    known = materialize(items.mapInPandas(lean(_sketches(shingle)), "item_id long, n long, shingles binary, sig binary"), "sketches")
+    size = known.agg(F.sum(8 * F.col("n") + _ITEM_BYTES)).first()[0] or 0
+    blocks = max(1, math.ceil(size / BYTES_A_PASS))
     for i in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        yield spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], percent, shingle))
+        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == i)
+        rows = part.select("item_id", "shingles", "sig").collect()
+        sets = [np.frombuffer(r["shingles"], dtype=np.uint64) for r in rows]
+        sig = np.frombuffer(b"".join(r["sig"] for r in rows), dtype=np.uint32).reshape(len(rows), HASHES)
+        yield spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], sets, sig, percent, shingle))
+    discard(known)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
@@ -123,7 +150,13 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, shingle:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, that contain no item."""
+    """The rows of docs, with all their columns, that contain no item.
+
+    Rows with null, empty or word-less texts contain none; repeated rows are decided one by one, texts of
+    any length as a whole; an empty table of items keeps all rows. If the items take several passes,
+    what each pass keeps is written for the next.
+    """
+    passed = None
     for sent in _indexes(items, percent, shingle):
 
         def clean(batches, sent=sent):
@@ -131,5 +164,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 75, shingle:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not sent.value.search(t) for t in texts], type=pa.bool_()))
 
-        docs = docs.mapInArrow(lean(clean), docs.schema)
-    return docs
+        docs = docs if passed is None else materialize(passed, "clean")
+        passed = docs.mapInArrow(lean(clean), docs.schema)
+    return passed

@@ -194,10 +194,39 @@ def _exact(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) -> Dat
     return links
 
 
-def near_duplicates(
+def ids_are_keys(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    n, some, different = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    return n == some == different
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, text, ...) -> one row a row: doc_id, n_shingles, component_id, kept; options as of grouped().
+
+    Rows are linked by their own texts. component_id is the smallest doc_id of the rows that a row
+    reaches, itself included (null if none of them has one); kept says that the doc_id is that one, or
+    that the row is the first of a component without ids. Where doc_id is null or repeated, rows get numbers in
+    their stored order to be told apart: rows that repeat a doc_id may have different texts.
+
+    Null, empty or word-less texts: n_shingles 0, linked with nothing. Fewer words than a shingle: the
+    whole sequence is the set. Texts of any length are read whole. An empty table gives no rows; other
+    columns are ignored.
+    """
+    docs = docs.select("doc_id", "text")
+    if ids_are_keys(docs):
+        return grouped(docs, **options)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = grouped(rows.select(F.col("__row").alias("doc_id"), "text"), **options)
+    named = found.select(F.col("doc_id").alias("__row"), "n_shingles", F.col("component_id").alias("c")).join(rows.select("__row", "doc_id"), "__row")
+    least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min("__row").alias("first"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("__row") == F.col("first")))
+    return named.join(least, "c").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def grouped(
     docs: DataFrame, percent: int = 75, shingle: int = 5, bands: int = 40, rows: int = 5, miss: float = 1e-6, batch: int = 20
 ) -> DataFrame:
-    """docs(doc_id, text, ...) -> one row a document: doc_id, n_shingles, component_id, kept.
+    """near_duplicates of docs(doc_id, text) whose ids are keys.
 
     1. Sign: bands x rows MinHash values of each document's distinct word shingles.
        Documents of equal sets form one class, which its smallest doc_id stands for.
@@ -209,12 +238,8 @@ def near_duplicates(
        components, in blocks of at most 2 x 256 members; buckets of equal membership
        count once. The same batches prune, exact sets that travel with the block's
        members confirm, and only links leave the block. Components are taken again.
-    So every pair that shares a bucket is decided, without emitting a group's pairs.
-
-    Null or word-less texts: n_shingles 0, linked with nothing. Fewer words than a
-    shingle: the whole sequence is the set. Rows that repeat a doc_id are one document.
-    Rows without doc_id link only to equal sets: they get that class's component, or null
-    if no row of the class has an id, and are kept only in that case. Other columns are ignored.
+    So every pair that shares a bucket is decided, without emitting a group's pairs. Rows of blocks grow
+    with the square of the members of a bucket that are not linked yet (README).
     """
     small_batches(docs.sparkSession)
     threshold = percent / 100
@@ -270,4 +295,4 @@ def near_duplicates(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         component.alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -48,6 +48,48 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_rows_without_ids(spark):
+    """Rows that lack or share an id are linked by their own texts."""
+    a, b = words(60, 31), words(60, 32)
+    rows = [(None, a), (None, a + " x"), (5, b), (5, a + " y"), (7, b + " z"), (None, words(40, 33)), (None, ""), (9, words(40, 33) + " q"), (None, words(30, 35)), (None, words(30, 35))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(1))
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got.collect())
+    n = {t: len({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}) for _, t in rows}
+    want = [(0, n[a], 5, False), (0, n[a + " x"], 5, False), (5, n[b], 5, True), (5, n[a + " y"], 5, True), (7, n[b + " z"], 5, False), (0, n[words(40, 33)], 9, False), (0, 0, 0, True), (9, n[words(40, 33) + " q"], 9, True)]
+    assert found == sorted([*want, (0, n[words(30, 35)], 0, True), (0, n[words(30, 35)], 0, False)])
+
+
+STAGE_ROWS = [(1, BASE, "en", "a"), (1, words(90, 51), "en", "a"), (None, words(70, 52), "en", None), (None, words(70, 52), "en", None), (2, None, None, None), (3, "", "en", "b"), (4, LONG, "en", "b"), (5, BASE, "en", "b"), (5, BASE, "en", "b")]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, docs, stage, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names in each stage."""
+    import corpus_pipeline
+
+    names = ["size", "shard", "slot", "row", "id", "repeats", "n", "sources", "copy", "kept", "__row"]
+    table = spark.createDataFrame([(*r, len(r[1] or "")) for r in STAGE_ROWS], "doc_id long, text string, lang string, source string, n_chars long")
+    table = table.withColumns({c: F.lit(i) for i, c in enumerate(names[: -1 if stage == 1 else None])}).repartition(2)
+    spark.createDataFrame([(1, " ".join(LONG.split()[900:940])), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, table, str(tmp_path))
+    kept = sorted((r.doc_id or 0, len(r.text or "")) for r in got.collect())
+    all_ = sorted((r[0] or 0, len(r[1] or "")) for r in STAGE_ROWS)
+    if name == "sharding":
+        assert got.columns == [*[c for c in table.columns if c not in ("size", "shard", "slot")], "size", "shard", "slot"] and kept == all_
+    else:
+        assert got.columns == table.columns
+    if name == "language_id":
+        assert (2, 0) not in kept and (3, 0) not in kept
+    if name == "near_dedup":
+        assert kept == sorted([(0, len(words(70, 52))), (1, len(BASE)), (1, len(words(90, 51))), (2, 0), (3, 0), (4, len(LONG))]) or (5, len(BASE)) in kept and len(kept) == 6
+    if name == "decontamination":
+        assert kept == [x for x in all_ if x[0] != 4]
+    if name == "mixing":
+        assert set(kept) <= set(all_) and all(kept.count(x) <= 2 * all_.count(x) for x in kept)
+    assert run(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
 def test_least_matches_bounds_the_miss():
     for n in (20, 100, 200):
         m = minhash.least_matches(n, 0.75, 1e-6)
@@ -91,9 +133,11 @@ def test_decontamination(spark, docs, none):
 
 
 def test_item_blocks(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontam, "ITEMS_A_PASS", 4)
+    monkeypatch.setattr(decontam, "BYTES_A_PASS", 4 * (decontam._ITEM_BYTES + 200))
     items = spark.createDataFrame([(i, " ".join(LONG.split()[i * 100 : i * 100 + 30])) for i in range(20)], "item_id long, text string")
+    assert len(list(decontam._indexes(items, 75, 5))) >= 4
     assert sorted(r.item_id for r in decontam.contaminated(docs, items).collect()) == list(range(20))
+    assert sorted(r.doc_id or 0 for r in decontam.decontaminate(docs, items).collect()) == sorted(r[0] or 0 for r in ROWS if r[0] != 9)
 
 
 def test_language_id(spark, docs, none):
