@@ -212,6 +212,15 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return mix(out + (end - start).astype(np.uint64)), start, end
 
 
+def runs(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words from start to end (exclusive), from the words' hashes."""
+    with np.errstate(over="ignore"):
+        up, down = _powers(max(_BLOCK, len(h)))
+        c = np.zeros(len(h) + 1, dtype=np.uint64)
+        np.cumsum(h * up[: len(h)], out=c[1:])
+        return mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, from the words' hashes."""
     n = len(h) - k + 1

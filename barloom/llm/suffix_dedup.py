@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, U64, discard, grams, lean, materialize, mix, partitions, small_batches, words
+from .common import BROADCAST_IDS, U64, discard, grams, lean, materialize, mix, partitions, runs, small_batches, words
 
 
 def minimisers(h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,11 +40,6 @@ def _select(k: int, w: int):
     return select
 
 
-def _fold(x: np.ndarray) -> int:
-    """A hash of a row of word hashes."""
-    return int(mix(np.array([(mix(x + np.arange(1, len(x) + 1, dtype=np.uint64))).sum(dtype=np.uint64)])).view(np.int64)[0])
-
-
 def _contexts(k: int, left: int, right: int):
     """The words around each candidate position, as 32-bit hashes, nearest first.
 
@@ -59,10 +54,13 @@ def _contexts(k: int, left: int, right: int):
                 h = words(text.encode("utf-8"))[0]
                 short = (h >> U64(32)).astype(">u4")
                 g = grams(h, k).view(np.int64)
-                t, ps = _fold(h), np.unique(ps)
-                for p in ps[ps < len(g)]:
-                    lo, hi = max(0, p - left), min(len(h), p + right)
-                    rows.append((g[p], _fold(h[p:hi]), _fold(h[lo:p]), p - lo, hi - p, short[p:hi].tobytes(), short[lo:p][::-1].tobytes(), d, t, p))
+                ps = np.unique(ps)
+                ps = ps[ps < len(g)]
+                lo, hi = np.maximum(0, ps - left), np.minimum(len(h), ps + right)
+                r, l, t = (runs(h, a, b).view(np.int64).tolist() for a, b in ((ps, hi), (lo, ps), (np.array([0]), np.array([len(h)]))))
+                back = short[::-1]
+                for p, i, a, b, x, y in zip(ps.tolist(), g[ps].tolist(), lo.tolist(), hi.tolist(), r, l):
+                    rows.append((i, x, y, p - a, b - p, short[p:b].tobytes(), back[len(h) - p : len(h) - a].tobytes(), d, t[0], p))
             yield pd.DataFrame(rows, columns=["kmer", "r", "l", "nl", "nr", "rctx", "lctx", "doc_id", "t", "p"])
 
     return contexts
