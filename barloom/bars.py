@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.times import seconds, wall_time
+
 PRICES = ("Open", "High", "Low", "Close")
 COLUMNS = ("Datetime", *PRICES, "Volume")
 SCHEMA = T.StructType([T.StructField("Datetime", T.TimestampNTZType())] + [T.StructField(c, T.DoubleType()) for c in COLUMNS[1:]])
@@ -44,7 +46,7 @@ def canonical(df: DataFrame, aliases: dict = SIGNAL_ALIASES, series: str | None
     found = infer_columns(df.columns, aliases)
     for field in PRICES:
         if found[field] is None:
-            raise BarError(f"Missing required column for '{field.lower()}'. Available: {df.columns}")
+            raise BarError(f"no column stands for {field}: there are {df.columns}")
 
     def number(field: str) -> Column:
         if found[field] is None:
@@ -53,7 +55,8 @@ def canonical(df: DataFrame, aliases: dict = SIGNAL_ALIASES, series: str | None
         c = F.col(f"`{found[field]}`")
         return as_double(c) if isinstance(kind, T.StringType) else F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
-    when = F.col(f"`{found['Datetime']}`").try_cast("timestamp_ntz") if found["Datetime"] else F.lit(None).cast("timestamp_ntz")
+    at = found["Datetime"]
+    when = wall_time(F.col(f"`{at}`"), dict(df.dtypes)[at]) if at else F.lit(None).cast("timestamp_ntz")
     order = F.col(f"`{ord_col}`").cast("long") if ord_col else F.monotonically_increasing_id()
     key = F.col(f"`{series}`").cast("string") if series else F.lit("all")
     return df.select(key.alias("series"), order.alias("ord"), when.alias("Datetime"), *[number(f).alias(f) for f in COLUMNS[1:]])
@@ -69,8 +72,8 @@ def resample(ticks: DataFrame, every: str, time: str, price: Column, ident: list
     bars = rows.groupBy("series", "Datetime").agg(
         F.min_by("p", "o").alias("Open"), F.max("p").alias("High"), F.min("p").alias("Low"), F.max_by("p", "o").alias("Close"), F.sum("v").alias("Volume")
     )
-    epoch = F.unix_timestamp(F.col("Datetime").cast("timestamp")).cast("long")
-    return bars.select("series", epoch.alias("ord"), F.col("Datetime").cast("timestamp_ntz"), *PRICES, "Volume")
+    at = wall_time(F.col("Datetime"), dict(bars.dtypes)["Datetime"])
+    return bars.withColumn("Datetime", at).select("series", seconds(F.col("Datetime")).alias("ord"), "Datetime", *PRICES, "Volume")
 
 
 def ordered(*more: str) -> Window:

@@ -6,22 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bars import COLUMNS, BarError, as_double
+from ..functions.times import wall_time
 
 #: The stages at which a row can go, in order.
 STAGES = ("na", "duplicate", "invariant", "negative_volume")
 
 
-def naive(c: Column, kind: str, tz: str | None) -> Column:
-    """A time as the wall clock of tz: aware ones are converted (to UTC if tz is None), naive ones stay."""
-    if kind == "timestamp":
-        return F.convert_timezone(F.lit("UTC"), F.lit(tz or "UTC"), F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-    if kind == "string":
-        offset = c.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
-        aware = F.convert_timezone(F.lit("UTC"), F.lit(tz or "UTC"), F.to_timestamp_ntz(F.date_format(c.try_cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-        return F.when(offset, aware).otherwise(c.try_cast("timestamp_ntz"))
-    return c.try_cast("timestamp_ntz")
-
-
 def bounds_hold() -> Column:
     return (F.col("Low") <= F.least("Open", "Close")) & (F.col("High") >= F.greatest("Open", "Close"))
 
@@ -29,18 +19,19 @@ def bounds_hold() -> Column:
 def staged(df: DataFrame, tz: str | None = None, clip_negative_volume: bool = True) -> DataFrame:
     """Each row with the stage at which cleaning drops it (`dropped`, null if kept) and `clipped`.
 
-    Needs the six columns plus series and ord (the input's order). Session time zone: UTC.
+    Needs the six columns plus series and ord (the input's order). Times become wall clocks of tz,
+    in any session time zone.
     Nulls go first, then later copies of a time, then rows that break the price bounds (so a
     bad first copy takes the good second one along), then negative volumes unless clipped.
     """
     if missing := [c for c in COLUMNS if c not in df.columns]:
-        raise BarError(f"Missing required columns: {missing}")
+        raise BarError(f"not bars: without {missing}")
     kinds = dict(df.dtypes)
 
     def number(name: str) -> Column:
         return as_double(F.col(name)) if kinds[name] == "string" else F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
-    df = df.withColumns({"Datetime": naive(F.col("Datetime"), kinds["Datetime"], tz)} | {c: number(c) for c in COLUMNS[1:]})
+    df = df.withColumns({"Datetime": wall_time(F.col("Datetime"), kinds["Datetime"], tz)} | {c: number(c) for c in COLUMNS[1:]})
     null = F.lit(False)
     for name in COLUMNS:
         null = null | F.col(name).isNull()

@@ -125,7 +125,7 @@ def ranges_high_low(bars: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def session_high_low(bars: DataFrame, session: str, start: int | None = None, end: int | None = None, cfg: SessionConfig = DEFAULT) -> DataFrame:
     if session not in {n for n, _ in cfg.ranges} | {cfg.fallback}:
-        raise BarError(f"Unknown session '{session}'")
+        raise BarError(f"no session is named {session!r}")
     rows = _ends(with_sessions(bars, cfg), start, end).where(F.col("session") == session)
     return rows.groupBy("series").agg(F.max("High").alias("high"), F.min("Low").alias("low"))
 

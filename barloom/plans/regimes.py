@@ -9,13 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..bars import REGIME_ALIASES
 from ..functions import indicators as ind
 from ..functions.kernels import back
 from ..operators.recurrence import with_recurrences
+from ..sources.files import as_bars
 
 
 @dataclass(frozen=True)
 class RegimeConfig:
+    """Names and defaults of the public configuration."""
+
     adx_trend_gate: float = 25.0
     adx_range_gate: float = 18.0
     ema_len_for_slope: int = 20
@@ -211,13 +215,13 @@ class RegimeEngine:
         self.order = list(primary_order) if primary_order is not None else sorted(PRIMARIES, key=lambda k: -PRIMARIES[k].priority)
         self.tags = list(tags) if tags is not None else list(TAGS)
 
-    def winners(self, bars: DataFrame) -> DataFrame:
+    def winners(self, bars) -> DataFrame:
         """Features with primary, direction, confidence and tags, before hysteresis.
 
         The quantiles look at the whole series (one aggregation a series, joined back): not
         for streams.
         """
-        feats = compute_features(bars, self.cfg, self.semantics)
+        feats = compute_features(as_bars(bars, REGIME_ALIASES), self.cfg, self.semantics)
         q = feats.groupBy("series").agg(
             *[F.percentile(C(x), F.array(F.lit(0.05), F.lit(0.95))).alias(f"_{x}_q") for x in ("adx", "atr_pct", "bb_width")],
             F.percentile(F.abs("ema20_slope"), F.array(F.lit(0.05), F.lit(0.95), F.lit(0.5), F.lit(0.6))).alias("_slope_q"),
@@ -244,7 +248,7 @@ class RegimeEngine:
             }
         ).drop("_best", "_island", "_run", "_slope_q", "_adx_q", "_atr_pct_q", "_bb_width_q")
 
-    def run(self, bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def run(self, bars) -> tuple[DataFrame, DataFrame]:
         """(regimes, features): one primary a bar after hysteresis, with its tags."""
         won = self.winners(bars)
         slim = won.select("series", "ord", "Datetime", "primary", "direction", "confidence", "tags", "adx", "atr_pct", (C("squeeze_on") > 0).alias("squeeze_on"), "bb_width")
@@ -252,5 +256,5 @@ class RegimeEngine:
         return slim.groupBy("series").applyInPandas(hold, slim.schema), won.select("series", "ord", "Datetime", *[C("feature_close").alias("close") if f == "close" else C(f) for f in FEATURES])
 
 
-def annotate_regimes(bars: DataFrame, config: dict | None = None, semantics: str = "reference") -> tuple[DataFrame, DataFrame]:
+def annotate_regimes(bars, config: dict | None = None, semantics: str = "reference") -> tuple[DataFrame, DataFrame]:
     return RegimeEngine(RegimeConfig(**(config or {})), semantics=semantics).run(bars)

@@ -9,10 +9,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..bars import SIGNAL_ALIASES
 from ..functions import indicators as ind
 from ..functions.kernels import back
 from ..functions.scalars import vote
 from ..operators.recurrence import with_recurrences
+from ..sources.files import as_bars
 
 
 @dataclass(frozen=True)
@@ -196,7 +198,7 @@ def fuse(df: DataFrame, configs: list[IndicatorConfig], aggregation: str = "weig
 
 
 def generate_signals(
-    bars: DataFrame,
+    bars,
     indicators: list[IndicatorConfig],
     *,
     defaults_csv: str | None = None,
@@ -206,16 +208,19 @@ def generate_signals(
 ) -> tuple[DataFrame, DataFrame]:
     """(per_indicator, composite) of bars, two projections of one plan.
 
+    `bars` are bars, a table whose columns go by other accepted names, or rows (see as_bars).
+
     Raises KeyError for unknown indicators and TypeError for unknown parameters. A name may
     come twice in reference semantics (the last one's columns, both weights); intended
     semantics reject that.
     """
+    bars = as_bars(bars, SIGNAL_ALIASES)
     defaults = load_default_params(defaults_csv) if defaults_csv else {}
     configs = []
     for cfg in indicators:
         name = cfg.name.lower()
         if name not in POLICIES:
-            raise KeyError(f"Unknown indicator '{name}'. Available: {sorted(POLICIES)}")
+            raise KeyError(f"no policy for {name!r}; known are {sorted(POLICIES)}")
         params = defaults.get(name, {}) | (cfg.params or {})
         if odd := set(params) - set(PARAMETERS[name]):
             raise TypeError(f"'{name}' does not take {sorted(odd)}")

@@ -25,13 +25,17 @@ def stream_bars(ticks: DataFrame, every: str, time: str, price: Column, ident: l
 
 
 class LevelTracker:
-    """One series' levels of the day: push a bar, get the flags it raises."""
+    """One series' levels of the day: push a bar, get the flags it raises.
+
+    Flags are also held until consume(); a new day drops those that were not read.
+    """
 
     def __init__(self, cfg: SessionConfig = DEFAULT, state: tuple | None = None):
         self.cfg = cfg
         day, session, idx, names, highs, lows, final = state or (None, None, -1, [], [], [], [])
         self.day, self.session, self.idx = day, session, idx
         self.levels = {n: [h, low, f] for n, h, low, f in zip(names, highs, lows, final)}
+        self.flags: list[tuple] = []
 
     def state(self) -> tuple:
         return (self.day, self.session, self.idx, list(self.levels), *[[x[i] for x in self.levels.values()] for i in range(3)])
@@ -40,7 +44,7 @@ class LevelTracker:
         """(touched session, side, level) of a bar: a new day forgets all levels first."""
         self.idx += 1
         if day != self.day:
-            self.day, self.session, self.levels = day, None, {}
+            self.day, self.session, self.levels, self.flags = day, None, {}, []
         if self.session != session and self.session in self.levels:
             self.levels[self.session][2] = True
         if session in self.cfg.tracked:
@@ -48,7 +52,22 @@ class LevelTracker:
             if not known[2]:
                 known[:2] = [max(known[0], high), min(known[1], low)]
         self.session = session
-        return [(n, side, level) for n, (top, bottom, final) in self.levels.items() if final and n != session for side, level in (("low", bottom), ("high", top)) if low <= level <= high]
+        new = [(n, side, level) for n, (top, bottom, final) in self.levels.items() if final and n != session for side, level in (("low", bottom), ("high", top)) if low <= level <= high]
+        self.flags += new
+        return new
+
+    def consume(self) -> list[tuple]:
+        """The flags raised since the last call."""
+        out, self.flags = self.flags, []
+        return out
+
+    def final_levels(self) -> dict[str, tuple[float, float]]:
+        """(high, low) of the day's sessions that are over."""
+        return {n: (high, low) for n, (high, low, final) in self.levels.items() if final}
+
+    def reset(self) -> None:
+        """Forgets the day, its levels and all flags; positions go on."""
+        self.day, self.session, self.levels, self.flags = None, None, {}, []
 
 
 def stream_level_flags(bars: DataFrame, cfg: SessionConfig = DEFAULT, rollover_hour: int = 0) -> DataFrame:
