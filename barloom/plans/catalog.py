@@ -11,6 +11,7 @@ from ..functions import scalars as sc
 from ..operators import sessions as se
 from ..operators.clean import clean_bars, violations
 from ..operators.recurrence import with_recurrences
+from ..sources.files import bars_of_texts
 from .regimes import FEATURES, RegimeEngine
 from .signals import IndicatorConfig, generate_signals, indicator
 
@@ -125,6 +126,8 @@ ROC = f"rc AS (SELECT *, 100 * (c - lag(c, 10) OVER ({W})) / abs(lag(c, 10) OVER
 
 # name -> (indicator, parameters, semantics, columns, CTEs, source, SQL columns, SQL vote)
 _VOTED = {
+    "rsi_intended": ("rsi", {}, "intended", [*RSI, "qi AS (SELECT *, CASE WHEN abs(al) <= 1e-8 THEN CASE WHEN abs(ag) <= 1e-8 THEN 50.0 ELSE 100.0 END ELSE rsi END AS full_rsi FROM q)"], "qi", {"rsi_rsi": "full_rsi"}, _vote("full_rsi <= 30", "full_rsi >= 70")),
+    "mfi_intended": ("mfi", {}, "intended", [HOURLY, MFI, "mi AS (SELECT *, CASE WHEN abs(ds) <= 1e-8 THEN CASE WHEN abs(us) <= 1e-8 THEN 50.0 ELSE 100.0 END ELSE mfi END AS full_mfi FROM mf2)"], "mi", {"mfi_mfi": "full_mfi"}, _vote("full_mfi <= 20", "full_mfi >= 80")),
     "rsi": ("rsi", {}, "reference", RSI, "q", {"rsi_rsi": "rsi"}, _vote("rsi <= 30", "rsi >= 70")),
     "macd": ("macd", {"fast": 3, "slow": 6, "signal_len": 9}, "reference", [HOURLY, *_macd(3, 6, 9, 1)], "m", {"macd_macd_line": "line", "macd_macd_signal": "sig", "macd_macd_hist": "line - sig"}, _cross("line", "sig")),
     "macd_intended": ("macd", {}, "intended", [HOURLY, *_macd(12, 26, 9, 26)], "m", {"macd_macd_line": "line", "macd_macd_signal": "sig", "macd_macd_hist": "line - sig"}, _cross("line", "sig")),
@@ -225,6 +228,23 @@ _DIRTY = HALF + """,
 d0 AS (SELECT series, rn - 1 AS ord, CASE WHEN (rn - 1) % 19 = 5 THEN t - INTERVAL 30 MINUTE ELSE t END AS t, CASE WHEN (rn - 1) % 17 <> 3 THEN o END AS o, h, CASE WHEN (rn - 1) % 23 = 12 THEN h + 1 ELSE l END AS l, c, CASE WHEN (rn - 1) % 29 = 15 THEN -v ELSE v END AS v FROM b),
 d1 AS (SELECT *, CASE WHEN o IS NULL THEN 'na' WHEN row_number() OVER (PARTITION BY series, t, o IS NULL ORDER BY ord) > 1 THEN 'duplicate' WHEN l > least(o, c) OR h < greatest(o, c) THEN 'invariant' END AS gone FROM d0)"""
 _add("clean_bars", lambda s, d: shown(clean_bars(dirty(s, d))[0], "Open", "High", "Low", "Close", "Volume"), _final(_DIRTY, "d1 WHERE gone IS NULL", {"Open": "o", "High": "h", "Low": "l", "Close": "c", "Volume": "greatest(v, 0)"}))
+_add("clean_bars_drop", lambda s, d: shown(clean_bars(dirty(s, d), clip_negative_volume=False)[0], "Open", "Volume"), _final(_DIRTY, "d1 WHERE gone IS NULL AND v >= 0", {"Open": "o", "Volume": "v"}))
+
+
+def written(spark, sf_dir) -> DataFrame:
+    """Half-hourly bars as texts, their times written in five ways, with and without offsets."""
+    df = half_hourly(spark, sf_dir)
+    t, ways = F.col("Datetime"), F.pmod(F.col("ord") / 1800, F.lit(5)).cast("int")
+    hours, half = (lambda n: t + F.make_dt_interval(hours=F.lit(n))), t - F.make_dt_interval(mins=F.lit(90))
+    said = [
+        F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(hours(2), "yyyy-MM-dd HH:mm:ss'+02:00'"), F.date_format(hours(-5), "MM/dd/yyyy HH:mm"),
+        F.date_format(hours(-5), "yyyy/MM/dd hh:mm a"), F.date_format(half, "MMM d, yyyy HH:mm:ss' -0130'"),
+    ]
+    at = F.get(F.array(*said), ways)
+    return df.select("ord", at.alias("Timestamp"), F.lit("never").alias("Date"), *[F.col(a).cast("string").alias(b) for a, b in (("Open", "O"), ("High", "HIGH"), ("Low", "l"), ("Close", "Adj Close"), ("Volume", "Qty"))])
+
+
+_add("bars_of_texts", lambda s, d: shown(bars_of_texts(written(s, d), tz="Etc/GMT+5", ord_col="ord")[0], "Open", "High", "Low", "Close", "Volume"), _final(HALF + ", w AS (SELECT * REPLACE (t - INTERVAL 5 HOUR AS t) FROM b)", "w", {"Open": "o", "High": "h", "Low": "l", "Close": "c", "Volume": "v"}))
 _add("clean_report", lambda s, d: clean_bars(dirty(s, d))[1], f"WITH {_DIRTY}\nSELECT count(*) AS input_rows, count(*) FILTER (gone = 'na') AS dropped_na, count(*) FILTER (gone = 'duplicate') AS dropped_duplicate, count(*) FILTER (gone = 'invariant') AS dropped_invariant, CAST(0 AS BIGINT) AS dropped_negative_volume, count(*) FILTER (gone IS NULL AND v < 0) AS clipped_volume, count(*) FILTER (gone IS NULL) AS output_rows, true AS sorted FROM d1")
 _add("validate_counts", lambda s, d: violations(dirty(s, d)), f"WITH {_DIRTY}, x AS (SELECT *, lag(t) OVER (PARTITION BY series ORDER BY ord) AS p FROM d0)\nSELECT count(*) AS n_rows, CAST(count(*) FILTER (o IS NULL) AS BIGINT) AS nulls, count(*) FILTER (p IS NOT NULL AND t <= p) AS not_increasing, count(*) FILTER (l > least(o, c)) AS low_above, count(*) FILTER (h < greatest(o, c)) AS high_below, count(*) FILTER (v < 0) AS negative_volume FROM x")
 
@@ -251,6 +271,23 @@ def _flags(spark, sf_dir, rollover=None):
 
 _add("session_label", lambda s, d: se.with_sessions(half_hourly(s, d)).select("series", "Datetime", "session"), f"WITH {_LABELLED} SELECT series, t AS Datetime, session FROM s")
 _add("range_high_low", lambda s, d: se.high_low(hourly(s, d), 200, 10), f"WITH {HOURLY} SELECT series, max(h) AS high, min(l) AS low FROM b WHERE rn BETWEEN 11 AND 201 GROUP BY series")
+_OVERLAP = se.SessionConfig((("Asia", ((1080, 1439), (0, 179))), ("London", ((90, 479),)), ("NY AM", ((420, 719),)), ("NY PM", ((600, 1019),)), ("Off", ((960, 1079),))))
+_INSIDE = {"Asia": "(m >= 1080 OR m < 180)", "London": "m BETWEEN 90 AND 479", "NY AM": "m BETWEEN 420 AND 719", "NY PM": "m BETWEEN 600 AND 1019", "Off": "m BETWEEN 960 AND 1079"}
+_NEXT = {"Asia": "London", "London": "NY AM", "NY AM": "NY PM", "NY PM": "Asia"}
+_SCAN = "CASE " + " ".join(f"WHEN {test} THEN '{n}'" for n, test in _INSIDE.items()) + " ELSE 'Off' END"
+_STAY = "CASE " + " ".join(f"WHEN now = '{n}' THEN CASE WHEN {_INSIDE[n]} THEN '{n}' WHEN {_INSIDE[to]} THEN '{to}' WHEN {_INSIDE['Off']} THEN 'Off' ELSE {_SCAN} END" for n, to in _NEXT.items()) + f" ELSE {_SCAN} END"
+_add(
+    "sessions_sticky", lambda s, d: se.with_sessions(half_hourly(s, d), _OVERLAP).select("series", "Datetime", "session"),
+    f"WITH RECURSIVE {HALF}, x AS MATERIALIZED (SELECT series, t, rn, hour(t) * 60 + minute(t) AS m FROM b), y AS (SELECT series, rn, {_SCAN} AS now FROM x WHERE rn = 1 UNION ALL SELECT x.series, x.rn, {_STAY} FROM y JOIN x ON x.series = y.series AND x.rn = y.rn + 1) SELECT series, t AS Datetime, now AS session FROM y JOIN x USING (series, rn)",
+)
+
+
+def ranges(spark, sf_dir) -> DataFrame:
+    """Three position ranges of each series, one of them reversed."""
+    return hourly(spark, sf_dir).select("series").distinct().select(F.explode(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 30), (200, 10), (50, 50))])).alias("r"), "series").select(F.concat_ws(":", "series", "r.start").alias("range_id"), "series", "r.start", "r.end")
+
+
+_add("ranges_high_low", lambda s, d: se.ranges_high_low(hourly(s, d), ranges(s, d)), f"WITH {HOURLY}, r AS (SELECT unnest([0, 200, 50]) AS a, unnest([30, 10, 50]) AS z) SELECT series || ':' || a AS range_id, max(h) AS high, min(l) AS low FROM b, r WHERE rn - 1 BETWEEN least(a, z) AND greatest(a, z) GROUP BY series, a")
 _add("session_high_low", lambda s, d: se.session_high_low(hourly(s, d), "London"), f"WITH {HOURLY} SELECT series, max(h) AS high, min(l) AS low FROM b WHERE hour(t) BETWEEN 2 AND 6 GROUP BY series")
 _add("daily_session_levels", lambda s, d: se.daily_levels(half_hourly(s, d)).withColumn("day", F.col("day").cast("string")), f"WITH {_LABELLED}, x AS (SELECT series, CAST(t AS DATE) AS day, session, max(h) AS high, min(l) AS low FROM s GROUP BY ALL), y AS (SELECT DISTINCT series, day, unnest(['Asia', 'London', 'NY AM', 'NY PM']) AS session FROM x) SELECT series, CAST(day AS VARCHAR) AS day, session, high, low FROM y LEFT JOIN x USING (series, day, session)")
 _add("level_flags_calendar", _flags, _flags_sql("t"))
