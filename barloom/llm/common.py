@@ -117,6 +117,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Returns freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None):
+        trim(0)
+
+
 def lean(f):
     """f, a function of batches, that returns freed memory to the system when a task ends.
 
@@ -126,9 +133,7 @@ def lean(f):
     @functools.wraps(f)
     def run(batches):
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None):
-            trim(0)
+        release()
 
     return run
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, lean, mix, small_batches
+from .common import U64, discard, lean, materialize, mix, release, small_batches
 
 ORDER = 5
 #: The bound of the labelled sample that is fitted: documents a language, drawn by a hash.
@@ -109,27 +109,25 @@ class Table:
 class Model:
     """Interpolated Kneser-Ney character models of all languages over one set of n-grams.
 
-    `rows` (k, lang, gram, n, total) has n-grams of every length k up to `order` with their counts (of
-    the highest order; lower ones have continuation counts: how many different characters
-    precede) and the sum of the counts of their context, `discounts` the discount of each (k, lang).
-    Both are of the full counts; n-grams left out of the rows give what they had, undiscounted, to
+    `levels` has, for every length k up to `order`, n-grams as rows of code points, the places of their
+    languages in `langs`, their counts (of the highest order; lower ones have continuation counts: how many
+    different characters precede) and the sums of the counts of their contexts; `discounts` has a discount
+    for each (k, language). All are of the full counts; n-grams left out give what they had, undiscounted, to
     their context's lower orders, so probabilities still sum to one. For each n-gram that any
     language has, `prob[k]` holds the log probability of its last character in every
     language, interpolation done; `back[k]` the log of a context's share for lower orders.
     """
 
-    def __init__(self, rows: pd.DataFrame, discounts: dict, order: int = ORDER):
-        self.order = order
-        self.langs = sorted(rows["lang"].unique())
-        L = len(self.langs)
-        self.alphabet = int(rows.loc[rows["k"] == 1, "gram"].nunique()) + 1
+    def __init__(self, levels: dict, langs: list[str], discounts: dict, order: int = ORDER):
+        self.order, self.langs = order, langs
+        L = len(langs)
+        self.alphabet = len(np.unique(levels[1][0])) + 1 if levels else 1
         self.prob, self.back = {}, {}
         for k in range(1, order + 1):
-            own_rows = rows[rows["k"] == k]
-            lang = np.searchsorted(self.langs, own_rows["lang"].to_numpy().astype(object).astype(str)) if L else np.empty(0, int)
-            grams = np.array([[ord(x) if x != " " else 0 for x in g] for g in own_rows["gram"]], dtype=np.uint32).reshape(-1, k)
-            d = np.array([discounts.get((k, x), 0.5) for x in self.langs])[lang] if L else np.empty(0)
-            part = (own_rows["n"].to_numpy(dtype=np.float64) - d) / own_rows["total"].to_numpy(dtype=np.float64)
+            none = np.empty(0)
+            grams, lang, n, total = levels.get(k, (np.empty((0, k), dtype=np.uint32), none.astype(np.int64), none, none))
+            d = np.array([discounts.get((k, x), 0.5) for x in [*langs, ""]])[lang]
+            part = (n - d) / total
             key, ctx = gram_keys(grams), gram_keys(grams[:, :-1]) if k > 1 else np.zeros(len(grams), dtype=np.uint64)
             union, first, at = np.unique(key, return_index=True, return_inverse=True)
             contexts, c_at = np.unique(ctx, return_inverse=True)
@@ -305,22 +303,24 @@ def calibration(model: Model, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["lang", "length", "own", "rest"])
 
 
-def statistics(counts: DataFrame, order: int) -> tuple[DataFrame, list[DataFrame]]:
-    """counts(lang, gram, n) of n-grams of the highest order -> (k, lang, gram, n, total) of all orders, and what to unpersist.
+def statistics(counts: DataFrame, order: int) -> DataFrame:
+    """counts(lang, gram, n) of n-grams of the highest order -> (k, lang, gram, n, total) of all orders, as a written table.
 
     Each different n-gram is one left neighbour of its last k - 1 characters; `total` sums its
     context's n. All in Spark: what goes to the driver is chosen from these, not counted there.
     """
-    out, level, kept = None, counts.select("lang", "gram", "n"), []
+    out, level, tables = None, materialize(counts.select("lang", "gram", "n"), "ngrams"), []
     for k in range(order, 0, -1):
         context = F.substring("gram", 1, k - 1)
         totals = level.groupBy("lang", context.alias("c")).agg(F.sum("n").alias("total"))
         rows = level.withColumn("c", context).join(totals, ["lang", "c"]).select(F.lit(k).alias("k"), "lang", "gram", "n", "total")
         out = rows if out is None else out.union(rows)
+        tables.append(level)
         if k > 1:
-            level = level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n")).persist()
-            kept.append(level)
-    return out, kept
+            level = materialize(level.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
+    out = materialize(out, "statistics")
+    discard(*tables)
+    return out
 
 
 def fit(counts: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) -> Model:
@@ -330,8 +330,7 @@ def fit(counts: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) ->
     the others), and a language over its share leaves out its n-grams of the least counts.
     Single characters all stay.
     """
-    rows, kept = statistics(counts, order)
-    rows = rows.persist()
+    rows = statistics(counts, order)
     kinds = pd.DataFrame([tuple(r) for r in rows.groupBy("k", "lang", "n").agg(F.count("*").alias("m")).collect()], columns=["k", "lang", "n", "m"])
     discounts, least = {}, []
     for k, of_length in kinds.groupby("k"):
@@ -346,11 +345,15 @@ def fit(counts: DataFrame, order: int = ORDER, max_ngrams: int = MAX_NGRAMS) ->
             fits = mine["n"][mine["m"].cumsum() <= bound]
             least.append((int(k), lang, int(fits.min()) if len(fits) else int(mine["n"].max()) + 1))
             left, langs = left - min(size, bound), langs - 1
-    chosen = F.broadcast(counts.sparkSession.createDataFrame(least, "k int, lang string, least long")) if least else None
-    found = rows.join(chosen, ["k", "lang"]).where("n >= least").drop("least").toPandas() if least else pd.DataFrame(columns=["k", "lang", "gram", "n", "total"])
-    for x in (rows, *kept):
-        x.unpersist()
-    return Model(found, discounts, order)
+    langs, levels = sorted(kinds["lang"].unique()), {}
+    for k in range(1, order + 1) if langs else ():
+        mine = [(lang, langs.index(lang), n) for j, lang, n in least if j == k]
+        chosen = F.broadcast(counts.sparkSession.createDataFrame(mine, "lang string, place int, least long"))
+        found = rows.where(F.col("k") == k).join(chosen, "lang").where("n >= least").select("gram", "place", "n", "total").toArrow()
+        grams = np.frombuffer("".join(found["gram"].to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, k)
+        levels[k] = (np.where(grams == 32, 0, grams).astype(np.uint32), found["place"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.float64), found["total"].to_numpy().astype(np.float64))
+    discard(rows)
+    return Model(levels, langs, discounts, order)
 
 
 def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER, max_ngrams: int = MAX_NGRAMS, miss: float = 0.001) -> Model:
@@ -365,14 +368,12 @@ def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER,
     docs = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model(pd.DataFrame({"k": [], "lang": [], "gram": [], "n": [], "total": []}), {}, order)
+        return Model({}, [], {}, order)
     rates = spark.createDataFrame([(k, per_lang / v) for k, v in sizes.items()], "lang string, rate double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     part = docs.withColumn("u", u).join(F.broadcast(rates), "lang").where("u < rate").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0)
     counts = part.where("not held or rate > 20").select("text", "lang").mapInPandas(lean(_counts(order)), "lang string, gram string, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    model = fit(counts, order, max_ngrams)
-    counts.unpersist()
+    model = fit(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), order, max_ngrams)
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches):
@@ -381,6 +382,7 @@ def learn(docs: DataFrame, per_lang: int = DOCS_A_LANGUAGE, order: int = ORDER,
 
     known = part.where("held").select("text", "lang").mapInPandas(lean(score), "lang string, length int, own double, rest double").toPandas()
     model.calibrate(known, miss)
+    release()
     return model
 
 
