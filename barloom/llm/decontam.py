@@ -17,8 +17,8 @@ from .minhash import hash_family, signature
 #: passes, so what is sent stays bounded (but for an item that is larger itself).
 BYTES_A_PASS = 64 << 20
 HASHES = 48
-#: Bytes of an item in the index besides its shingles: its values in the tables, and bits that may be set.
-_ITEM_BYTES = HASHES * (8 + 4 + 16)
+#: Bytes of an item in the index besides its shingles: its values in the tables, and up to 128 flags a value.
+_ITEM_BYTES = HASHES * (8 + 4 + 128)
 
 
 class Index:
@@ -43,14 +43,14 @@ class Index:
         self.classes = []
         for size in np.unique(up).tolist():
             members = np.flatnonzero(up == size)
-            bits = min(23, max(10, math.ceil(math.log2(64 * len(members)))))
+            bits = min(24, max(16, math.ceil(math.log2(64 * len(members)))))
             sig = signatures[members]
             may = np.zeros((HASHES, 1 << bits), dtype=bool)
             for j in range(HASHES):
                 may[j, sig[:, j] >> np.uint32(32 - bits)] = True
             key = (row | sig.astype(np.uint64)).ravel()
             order = np.argsort(key, kind="stable")
-            self.classes.append((max(1, size // 2), bits, np.packbits(may, axis=1, bitorder="little"), key[order], np.repeat(members, HASHES)[order].astype(np.int32)))
+            self.classes.append((max(1, size // 2), bits, may, key[order], np.repeat(members, HASHES)[order].astype(np.int32)))
 
     def _set(self, m: int) -> np.ndarray:
         return self.flat[self.ends[m] : self.ends[m + 1]]
@@ -75,8 +75,7 @@ class Index:
             m = np.concatenate(minima, axis=1)
             pad = np.pad(m, ((0, 0), (1, 1)), constant_values=0xFFFFFFFF)
             m = np.minimum(np.minimum(pad[:, :-2], pad[:, 1:-1]), pad[:, 2:])
-            top = m >> np.uint32(32 - bits)
-            j, at = np.nonzero(may[row, top >> np.uint32(3)] >> (top & np.uint32(7)).astype(np.uint8) & np.uint8(1))
+            j, at = np.nonzero(may[row, m >> np.uint32(32 - bits)])
             if not len(j):
                 continue
             key = np.unique(j.astype(np.uint64) << U64(32) | m[j, at].astype(np.uint64))
