@@ -55,6 +55,16 @@ class Index:
     def _set(self, m: int) -> np.ndarray:
         return self.flat[self.ends[m] : self.ends[m + 1]]
 
+    def _minima(self, x: np.ndarray, width: int) -> np.ndarray:
+        """The least value of each hash function in each block of `width` shingles."""
+        step = width * max(1, 4096 // width)
+        least = []
+        for i in range(0, len(x), step):
+            v = self.a[:, None] * x[None, i : i + step]
+            v += self.b[:, None]
+            least.append(np.minimum.reduceat(v, np.arange(0, v.shape[1], width), axis=1))
+        return np.concatenate(least, axis=1)
+
     def search(self, text: str | None) -> list[tuple]:
         """(item_id, its set size, shared shingles) of the items that the text contains."""
         if not text or not self.ids:
@@ -66,19 +76,20 @@ class Index:
         maybe: set[int] = set()
         x = (g >> U64(32)).astype(np.uint32)
         row = np.arange(HASHES)[:, None]
+        m, width = None, 0
         for half, bits, may, keys, members in self.classes:
-            step = half * max(1, 4096 // half)
-            minima = [
-                np.minimum.reduceat(v := self.a[:, None] * x[None, i : i + step] + self.b[:, None], np.arange(0, v.shape[1], half), axis=1)
-                for i in range(0, len(x), step)
-            ]
-            m = np.concatenate(minima, axis=1)
-            pad = np.pad(m, ((0, 0), (1, 1)), constant_values=0xFFFFFFFF)
-            m = np.minimum(np.minimum(pad[:, :-2], pad[:, 1:-1]), pad[:, 2:])
-            j, at = np.nonzero(may[row, m >> np.uint32(32 - bits)])
+            if m is None:
+                m = self._minima(x, half)
+            elif half > width:  # blocks of a larger class are whole runs of a smaller one's
+                m = np.minimum.reduceat(m, np.arange(0, m.shape[1], half // width), axis=1)
+            width = half
+            near = m.copy()
+            np.minimum(near[:, 1:], m[:, :-1], out=near[:, 1:])
+            np.minimum(near[:, :-1], m[:, 1:], out=near[:, :-1])
+            j, at = np.divmod(np.flatnonzero(may.take((near >> np.uint32(32 - bits)) + (row << bits))), near.shape[1])
             if not len(j):
                 continue
-            key = np.unique(j.astype(np.uint64) << U64(32) | m[j, at].astype(np.uint64))
+            key = np.unique(j.astype(np.uint64) << U64(32) | near[j, at].astype(np.uint64))
             for lo, hi in zip(np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")):
                 maybe.update(members[lo:hi].tolist())
         if not maybe:
