@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..bars import BarError
 from ..functions.scalars import minute_of_day
+from .scan import scan
 
 
 @dataclass(frozen=True)
@@ -62,10 +63,12 @@ def _sticky(cfg: SessionConfig):
     def inside(name: str, m: int) -> bool:
         return any(a <= m <= b for a, b in ranges.get(name, ()))
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        now, out = None, []
-        for m in pdf["_minute"]:
+    now = None
+
+    def label(b):
+        nonlocal now
+        out = []
+        for m in b["_minute"]:
             if now in cfg.cycle and inside(now, m):
                 pass
             elif now in cfg.cycle and inside(nxt := cfg.cycle[(cfg.cycle.index(now) + 1) % len(cfg.cycle)], m):
@@ -75,7 +78,7 @@ def _sticky(cfg: SessionConfig):
             else:
                 now = next((n for n in ranges if inside(n, m)), cfg.fallback)
             out.append(now)
-        return pdf.assign(session=out).drop(columns="_minute")
+        return {"session": out}
 
     return label
 
@@ -92,7 +95,7 @@ def with_sessions(bars: DataFrame, cfg: SessionConfig = DEFAULT) -> DataFrame:
         return bars.withColumn("session", session_of(minute_of_day(), cfg))
     rows = bars.withColumn("_minute", minute_of_day())
     schema = T.StructType([*bars.schema.fields, T.StructField("session", T.StringType())])
-    return rows.groupBy("series").applyInPandas(_sticky(cfg), schema)
+    return scan(rows, schema, partial(_sticky, cfg))
 
 
 def with_index(bars: DataFrame) -> DataFrame:

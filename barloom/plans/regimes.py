@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..bars import REGIME_ALIASES
 from ..functions import indicators as ind
 from ..functions.kernels import back
 from ..operators.recurrence import with_recurrences
+from ..operators.scan import scan
 from ..sources.files import as_bars
 
 
@@ -177,15 +179,17 @@ def _any(*tests: Column) -> Column:
 
 
 def _hysteresis(confirm_bars: int, exit_bars: int, reference: bool):
-    def hold(pdf: pd.DataFrame) -> pd.DataFrame:
+    now, confirm, blanks, last = "", 0, 0, ""
+
+    def hold(b):
         """Adopts a key after enough confirmations, clears after enough blanks.
 
         In reference semantics all candidates share one counter, and blanks in between do
         not reset it; else a key must come in consecutive bars.
         """
-        pdf = pdf.sort_values("ord", kind="stable")
-        now, confirm, blanks, last, out = "", 0, 0, "", []
-        for key in pdf["primary"]:
+        nonlocal now, confirm, blanks, last
+        out = []
+        for key in b["primary"]:
             if key == "":
                 blanks += 1
                 if not reference:
@@ -202,7 +206,7 @@ def _hysteresis(confirm_bars: int, exit_bars: int, reference: bool):
                 confirm = blanks = 0
             last = key
             out.append(now)
-        return pdf.assign(primary=out)
+        return {"primary": np.array(out, dtype=object)}
 
     return hold
 
@@ -252,8 +256,8 @@ class RegimeEngine:
         """(regimes, features): one primary a bar after hysteresis, with its tags."""
         won = self.winners(bars)
         slim = won.select("series", "ord", "Datetime", "primary", "direction", "confidence", "tags", "adx", "atr_pct", (C("squeeze_on") > 0).alias("squeeze_on"), "bb_width")
-        hold = _hysteresis(self.cfg.confirm_bars, self.cfg.exit_bars, self.semantics == "reference")
-        return slim.groupBy("series").applyInPandas(hold, slim.schema), won.select("series", "ord", "Datetime", *[C("feature_close").alias("close") if f == "close" else C(f) for f in FEATURES])
+        hold = partial(_hysteresis, self.cfg.confirm_bars, self.cfg.exit_bars, self.semantics == "reference")
+        return scan(slim, slim.schema, hold), won.select("series", "ord", "Datetime", *[C("feature_close").alias("close") if f == "close" else C(f) for f in FEATURES])
 
 
 def annotate_regimes(bars, config: dict | None = None, semantics: str = "reference") -> tuple[DataFrame, DataFrame]:
